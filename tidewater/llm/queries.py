@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import bpe
+from tidewater.llm import bpe, ppm, simhash
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -17,14 +18,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
+    return near.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id")
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = ppm.learn(docs.filter(~ppm.held_out("doc_id")))
+    return ppm.predict(docs, model).select("doc_id", ppm.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
