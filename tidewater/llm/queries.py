@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, ppm, simhash
+from tidewater.llm import blobs, bpe, ppm, simhash
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ledger = blobs.Ledger(spark)
+    ledger.update(docs)
+    kinds = [r.kind for r in blobs.BASE_RULES]
+    spans = F.col("spans")
+    return ledger.on_paths(docs, ["doc_id"]).select(
+        "doc_id",
+        *[F.size(blobs.of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(blobs.listed(blobs.of_kinds(spans, kinds)).cast("binary"), 256).alias("base_sha256"),
+        blobs.listed(spans).alias("spans"),
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
@@ -39,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
+    "op6_blob_ledger": op6_blob_ledger,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_language_id": op10_language_id,
 }
