@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blobs, bpe, ppm, simhash
+from tidewater.llm import blobs, bpe, posindex, ppm, simhash
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,49 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True))
 
 
+def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = posindex.build(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return posindex.contamination(index, window=10).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[k : k + size - 1], ' ') AS gram
+  FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM item)),
+sizes AS (SELECT DISTINCT size FROM item),
+grams AS (
+  SELECT doc_id, size, k, array_to_string(w[k : k + size - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT doc_id, item_id, k, g.size FROM grams g JOIN windows USING (size, gram)),
+hit_words AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS pos FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = ppm.learn(docs.filter(~ppm.held_out("doc_id")))
@@ -55,7 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_blob_ledger": op6_blob_ledger,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_positional_index": op9_positional_index,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_positional_index": OP9_SQL,
+}
