@@ -19,6 +19,7 @@ other than the id and the text aren't read.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,8 +34,8 @@ from tidewater.llm.common import text_chunks
 
 #: Pieces of up to this many bytes share an array of trees.
 SHORT = 64
-#: Entries of a task's table of encoded pieces; beyond it the table starts anew.
-MEMO = 1 << 18
+#: Entries of a worker's table of encoded pieces; beyond it the table starts anew.
+MEMO = 1 << 20
 #: Trees that run side by side.
 LANES = 1 << 15
 
@@ -215,6 +216,17 @@ class SegmentTreeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+#: The encoder that a Python worker holds from one task to the next, by the call that made it.
+_held: dict[str, SegmentTreeBpe] = {}
+
+
+def _encoder(call: str, ranks: dict[bytes, int], pattern: str) -> SegmentTreeBpe:
+    if call not in _held:
+        _held.clear()
+        _held[call] = SegmentTreeBpe(ranks, pattern)
+    return _held[call]
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -229,13 +241,13 @@ def encode(
     vocabulary. No shuffle: the work follows the input's splits.
     """
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern))
+    table, call = spark.sparkContext.broadcast((read_ranks(ranks_path), pattern)), uuid.uuid4().hex
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if with_decoded:
         fields.append(T.StructField("decoded", T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = SegmentTreeBpe(*table.value)
+        bpe = _encoder(call, *table.value)
         for part in text_chunks(batches, "text"):
             ids = bpe.encode_texts(part.column("text").to_pylist())
             ends = np.cumsum([0, *map(len, ids)])
