@@ -278,11 +278,12 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digests(encoded: DataFrame, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
     """Count and SHA-256 digests of what encode(with_decoded=True) returns."""
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(extra or []),
     )

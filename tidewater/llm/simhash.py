@@ -285,3 +285,20 @@ def near_duplicates(
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = rooted.join(of_root, "root").select("fp", "component")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42
+) -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of its component.
+
+    Of rows with the same id and the same text one stays; they are looked for only
+    if a kept id occurs twice.
+    """
+    near = near_duplicates(docs, id_col, text_col, words, radius, seed)
+    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = stored(kept.select(F.col(id_col).alias("_kept"), "_rows"), "kept")
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    if kept.filter("_rows > 1").limit(1).count():
+        out = out.withColumn("_same", F.sha2(F.col(text_col).cast("binary"), 256)).dropDuplicates([id_col, "_same"]).drop("_same")
+    return out
