@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blobs, bpe, posindex, ppm, simhash
+from tidewater.llm import blobs, bpe, posindex, ppm, revisit, simhash, urlbloom, urls
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = revisit.records_of(_table(spark, sf_dir, "pages"))
+    return revisit.resolve(records).select(
+        "record_id", F.col("canon").alias("canonical_url"), "ts", "resolved_id", "status", revisit.header_lines(F.col("headers")).alias("headers")
+    )
+
+
+#: The canonical form of urls.canonical() in SQL.
+CANONICAL_SQL = r"""
+p AS (
+  SELECT *, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+         array_to_string(list_filter(string_split(coalesce(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), ''), '&'),
+                                     lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[^=]*|ref)(?:=|$)')), '&') AS query
+  FROM pages),
+c AS (
+  SELECT *, CASE WHEN regexp_replace(host, '^(?:www|m)\.', '') <> ''
+                 THEN regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS canon
+  FROM p)
+"""
+
+OP1_SQL = (
+    "WITH" + CANONICAL_SQL + r"""
+, r AS (
+  SELECT page_id, canon, 1704067200 + page_id * 60 AS ts, '"' || substr(md5(html), 1, 16) || '"' AS etag, length(html) AS size FROM c),
+found AS (
+  SELECT v.page_id, v.canon, v.ts + 7776000 AS ts, v.etag, max(struct_pack(ts := f.ts, page_id := f.page_id)) AS x
+  FROM r v LEFT JOIN r f ON f.canon = v.canon AND f.ts < v.ts + 7776000
+  GROUP BY ALL),
+both_ AS (
+  SELECT found.page_id, found.canon, found.ts, found.etag, r.page_id AS rid, r.etag AS r_etag, r.size FROM found LEFT JOIN r ON r.page_id = found.x.page_id)
+SELECT page_id * 2 + 1 AS record_id, canon AS canonical_url, ts, rid * 2 AS resolved_id,
+       CASE WHEN rid IS NULL THEN 'no_response' WHEN etag <> r_etag THEN 'etag_mismatch'
+            WHEN etag IS NULL OR r_etag IS NULL THEN 'unvalidated' ELSE 'resolved' END AS status,
+       CASE WHEN rid IS NOT NULL AND etag = r_etag
+            THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || size || chr(10) || 'content-type: text/html' || chr(10)
+                 || 'date: ' || ts || chr(10) || 'etag: ' || r_etag || chr(10) || 'set-cookie: visit=1'
+            ELSE 'cache-control: max-age=3600' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts || chr(10) || 'set-cookie: visit=2' END AS headers
+FROM both_
+"""
+)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
     return near.select(
@@ -39,6 +82,35 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules of the URL query.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of all pages that some campaign link (utm_...) led to."""
+    pages = _table(spark, sf_dir, "pages")
+    listed = pages.filter(F.col("url").rlike(r"[?&]utm_")).select(urls.canonical(F.col("url")).alias("canonical_url"))
+    return urlbloom.judge(pages, listed, URL_RULES)
+
+
+OP7_SQL = (
+    "WITH" + CANONICAL_SQL + r"""
+, listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(url, '[?&]utm_')),
+ruled AS (
+  SELECT page_id, host, path, canon,
+         CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM c)
+SELECT page_id, host, path, rule,
+       CASE rule WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow'
+            ELSE CASE WHEN canon IN (SELECT canon FROM listed WHERE canon IS NOT NULL) THEN 'block' ELSE 'allow' END END AS verdict
+FROM ruled
+"""
+)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
@@ -95,13 +167,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_revisits": op1_revisits,
     "op5_simhash": op5_simhash,
     "op6_blob_ledger": op6_blob_ledger,
+    "op7_url_bloom": op7_url_bloom,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_positional_index": op9_positional_index,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_revisits": OP1_SQL,
+    "op7_url_bloom": OP7_SQL,
     "op9_positional_index": OP9_SQL,
 }
