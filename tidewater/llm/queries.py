@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blobs, bpe, posindex, ppm, revisit, simhash, urlbloom, urls
+from tidewater.llm import blobs, bpe, cascade, posindex, ppm, revisit, simhash, urlbloom, urls
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,6 +61,39 @@ FROM both_
 )
 
 
+def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ordered = cascade.order(cascade.RULES, cascade.profile(docs))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return cascade.run(docs, ordered, names).select("doc_id", *names, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
+         length(regexp_replace(t, '[^A-Za-z]+', '', 'g')) AS n_letters
+  FROM d),
+tri AS (SELECT doc_id, i, w[i : i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+twice AS (SELECT doc_id, x FROM tri GROUP BY doc_id, x HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM tri JOIN twice USING (doc_id, x)) GROUP BY doc_id),
+a AS (SELECT m.*, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN covered USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+            OR 2 * n_capitals > n_letters OR 2 * n_bangs > n_words) AS kept
+FROM f
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
     return near.select(
@@ -168,6 +201,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
+    "op4_rule_cascade": op4_rule_cascade,
     "op5_simhash": op5_simhash,
     "op6_blob_ledger": op6_blob_ledger,
     "op7_url_bloom": op7_url_bloom,
@@ -178,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_revisits": OP1_SQL,
+    "op4_rule_cascade": OP4_SQL,
     "op7_url_bloom": OP7_SQL,
     "op9_positional_index": OP9_SQL,
 }
