@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blobs, bpe, cascade, posindex, ppm, revisit, simhash, urlbloom, urls
+from tidewater.llm import blobs, bpe, cascade, posindex, ppm, revisit, shards, simhash, urlbloom, urls
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,6 +61,12 @@ FROM both_
 )
 
 
+def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "linked"
+    )
+
+
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ordered = cascade.order(cascade.RULES, cascade.profile(docs))
@@ -71,11 +77,14 @@ def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-]+') AS w,
-         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l
+  SELECT doc_id, t, regexp_extract_all(t, '[^ 	-
+]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 m AS (
-  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals,
@@ -201,6 +210,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
+    "op2_label_propagation": op2_label_propagation,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_simhash": op5_simhash,
     "op6_blob_ledger": op6_blob_ledger,
