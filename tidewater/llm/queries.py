@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import blobs, bpe, cascade, posindex, ppm, revisit, shards, simhash, urlbloom, urls
+from tidewater.llm import blobs, bpe, cascade, licences, posindex, ppm, revisit, shards, simhash, urlbloom, urls
 
 #: The rank file is a parameter of the operator; this is the one the query uses.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -67,6 +67,10 @@ def op2_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.train())
+
+
 def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ordered = cascade.order(cascade.RULES, cascade.profile(docs))
@@ -211,6 +215,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_revisits": op1_revisits,
     "op2_label_propagation": op2_label_propagation,
+    "op3_licences": op3_licences,
     "op4_rule_cascade": op4_rule_cascade,
     "op5_simhash": op5_simhash,
     "op6_blob_ledger": op6_blob_ledger,
