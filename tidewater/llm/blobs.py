@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_dir, text_chunks
+from tidewater.llm.common import shared_dir, stored, text_chunks
 
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
@@ -154,7 +154,8 @@ class Ledger:
     def on_paths(self, versions: DataFrame, paths: list[str], rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
         """The path columns of each row of versions with its spans; rows that were never scanned have none."""
         rows = versions.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(paths)], blob_of(F.col(text_col)).alias("blob"))
-        found = self.findings(rules)
+        # a table of its own: behind an aggregation, adaptive execution couldn't split a hot blob
+        found = stored(self.findings(rules).filter(F.size("spans") > 0), "findings")
         return rows.join(found, F.col("blob") == F.col("found"), "left").select(
             *[F.col(f"_p{i}").alias(p) for i, p in enumerate(paths)], F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
         )
@@ -176,7 +177,7 @@ def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, tex
     """
     schema = docs.schema
     keyed = docs.withColumn("_blob", blob_of(F.col(text_col)))
-    found = ledger.findings(rules).filter(F.size("spans") > 0).select("found", F.col("spans").alias("_spans"))
+    found = stored(ledger.findings(rules).filter(F.size("spans") > 0), "findings").select("found", F.col("spans").alias("_spans"))
     joined = keyed.join(found, F.col("_blob") == F.col("found"), "left").drop("_blob", "found")
 
     def cut(text: str, spans: list[dict]) -> str:
