@@ -35,9 +35,9 @@ from tidewater.llm.common import text_chunks
 #: Pieces of up to this many bytes share an array of trees.
 SHORT = 64
 #: Entries of a worker's table of encoded pieces; beyond it the table starts anew.
-MEMO = 1 << 20
+MEMO = 1 << 19
 #: Trees that run side by side.
-LANES = 1 << 15
+LANES = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +67,9 @@ class SegmentTreeBpe:
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.token = [self.bytes_of.get(i) for i in range(self.top)]
+        #: pieces and their ids as little-endian 32-bit integers
+        self.memo: dict[str, bytes] = {}
 
     # one tree
 
@@ -122,8 +124,8 @@ class SegmentTreeBpe:
             return np.full(len(keys), self.top, np.int64)
         return np.where(ok & (self.pair_keys[at] == keys), self.pair_ranks[at], self.top)
 
-    def encode_short(self, pieces: list[bytes]) -> list[list[int]]:
-        """Pieces of 2 to SHORT bytes, one row of the array each."""
+    def encode_short(self, pieces: list[bytes]) -> list[bytes]:
+        """Pieces of 2 to SHORT bytes, one row of the array each; ids as in the table."""
         n = np.array([len(p) for p in pieces], np.int64)
         size = 1 << max(1, int(n.max() - 1).bit_length())
         rows = len(pieces)
@@ -168,7 +170,7 @@ class SegmentTreeBpe:
                 self._update(tree, who, h2, np.where(found < self.top, found * size + h2, none), size)
             live = live[tree[live, 1] < none]
         kept = token >= 0
-        ids, ends = token[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+        ids, ends = token[kept].astype("<i4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     @staticmethod
@@ -194,26 +196,26 @@ class SegmentTreeBpe:
             raw = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.memo[piece] = (whole,)
+                self.memo[piece] = whole.to_bytes(4, "little")
             elif len(raw) > SHORT:
-                self.memo[piece] = tuple(self.encode_long(raw))
+                self.memo[piece] = np.array(self.encode_long(raw), "<i4").tobytes()
             else:
                 by_size.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for group in by_size.values():
             for at in range(0, len(group), LANES):
                 part = group[at : at + LANES]
                 for (piece, _), ids in zip(part, self.encode_short([raw for _, raw in part]), strict=True):
-                    self.memo[piece] = tuple(ids)
+                    self.memo[piece] = ids
 
-    def encode_texts(self, texts: list[str | None]) -> list[list[int]]:
+    def encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [self.pattern.findall(t) if t else [] for t in texts]
         self.learn(set(chain.from_iterable(cut)))
-        return [list(chain.from_iterable(map(self.memo.__getitem__, pieces))) for pieces in cut]
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<i4") for pieces in cut]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ids; an id outside the table raises KeyError."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids."""
+        return b"".join(map(self.token.__getitem__, ids.tolist()))
 
 
 #: The encoder that a Python worker holds from one task to the next, by the call that made it.
@@ -250,8 +252,7 @@ def encode(
         bpe = _encoder(call, *table.value)
         for part in text_chunks(batches, "text"):
             ids = bpe.encode_texts(part.column("text").to_pylist())
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+            ends, flat = np.cumsum([0, *map(len, ids)]), np.concatenate(ids)
             columns = [part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
             names = ["id", "ids"]
             if with_decoded:
