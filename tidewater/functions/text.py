@@ -138,9 +138,8 @@ def page_fields(html: Column) -> Column:
 def clean_article(x: Column, shortest: int = 20, boilerplate: Sequence[str] = ()) -> Column:
     """Lines of some length without boilerplate phrases."""
     lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: F.length(s) >= shortest)
-    for phrase in boilerplate:
-        lines = F.filter(lines, lambda s, p=phrase: ~F.lower(s).contains(p.lower()))
-    return F.array_join(lines, "\n")
+    phrases = [p.lower() for p in boilerplate]
+    return F.array_join(F.filter(lines, lambda s: ~any_word(F.lower(s), phrases)), "\n")
 
 
 MOJIBAKE = ["Ð", "Ñ", "Ã", "Â", "â€"]

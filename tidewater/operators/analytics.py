@@ -32,12 +32,12 @@ def containing(df: DataFrame, columns: Sequence[str], words: str | None) -> Data
 
 def having(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """Rows with a partner: a semi join, so several partners don't repeat a row."""
-    return df.join(other, F.col(key) == other[other_key], "left_semi")
+    return df.join(other.select(F.col(other_key).alias("_other")), F.col(key) == F.col("_other"), "left_semi")
 
 
 def lacking(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """Rows without a partner."""
-    return df.join(other, F.col(key) == other[other_key], "left_anti")
+    return df.join(other.select(F.col(other_key).alias("_other")), F.col(key) == F.col("_other"), "left_anti")
 
 
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -37,7 +37,7 @@ def group_correlation(pairs: DataFrame, groups: DataFrame, key: str, group: str)
     g = groups.select(F.col(key).alias("k"), F.col(group).alias("g"))
     ga, gb = g.select(F.col("k").alias("a"), F.col("g").alias("ga")), g.select(F.col("k").alias("b"), F.col("g").alias("gb"))
     both = pairs.join(ga, "a").join(gb, "b").filter("ga = gb")
-    return both.groupBy(F.col("ga").alias(group)).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.abs("rho")), 6).alias("mean_rho"))
+    return both.groupBy(F.col("ga").alias(group)).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.abs("rho")) + 1e-9, 6).alias("mean_rho"))
 
 
 def price_impact(events: DataFrame, prices: DataFrame, windows: dict[str, tuple[int, int]]) -> DataFrame:

@@ -22,6 +22,10 @@ def terms(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("([a-zà-öø-ÿ0-9]+)"), 1)
 
 
+def _is(word: str) -> Callable[[Column], Column]:
+    return lambda t: t == word
+
+
 def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents with a query term: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
@@ -29,7 +33,7 @@ def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: floa
     the document frequencies as a single row that is joined back."""
     q = list(dict.fromkeys(query))
     counted = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w")).select(
-        "id", F.size("w").alias("len"), *[F.size(F.filter("w", lambda t, w=w: t == w)).alias(f"tf{i}") for i, w in enumerate(q)]
+        "id", F.size("w").alias("len"), *[F.size(F.filter("w", _is(w))).alias(f"tf{i}") for i, w in enumerate(q)]
     )
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))])
     j = counted.join(F.broadcast(stats))

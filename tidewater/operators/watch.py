@@ -50,7 +50,7 @@ def predictions(found: DataFrame, spark, family: str = "follow_up_events") -> Da
     table = F.broadcast(spark.createDataFrame(rows, "pattern string, predicted_type string, base double, days int, place int"))
     j = found.join(table, F.col("event_type") == F.col("pattern"))
     p = S.prediction_probability(F.col("base"), F.col("importance"), F.col("price_impact"), F.col("predicted_type").rlike("market|volatility"), F.col("connections"))
-    return j.select("rule_id", "event_id", "predicted_type", F.round(p, 6).alias("probability"), "days", (F.col("triggered") + F.col("days") * 86_400_000_000).alias("due"))
+    return j.select("rule_id", "event_id", "predicted_type", F.round(p + 1e-9, 6).alias("probability"), "days", (F.col("triggered") + F.col("days") * 86_400_000_000).alias("due"))
 
 
 CATEGORIES = {

@@ -57,7 +57,7 @@ class Views:
     def prices(self) -> DataFrame:
         day = F.to_date("l_shipdate")
         return self.table("lineitem").groupBy(F.col("l_suppkey").alias("secid"), day.alias("day")).agg(
-            F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6).alias("close"), F.sum("l_quantity").alias("volume")
+            F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-9, 6).alias("close"), F.sum("l_quantity").alias("volume")
         )
 
     def companies(self) -> DataFrame:
@@ -114,7 +114,7 @@ SQL = {
   SELECT id AS event_id, us AS calculated, event_type, least(value / 200, 1.0) AS importance_score FROM v_events
   UNION ALL SELECT id, us + 3600000000, event_type, least(value / 200, 1.0) * 0.9 FROM v_events WHERE id % 2 = 0""",
     "v_prices": """
-  SELECT l_suppkey AS secid, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity), 6) AS close, sum(l_quantity) AS volume
+  SELECT l_suppkey AS secid, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 1e-9, 6) AS close, sum(l_quantity) AS volume
   FROM lineitem GROUP BY ALL""",
     "v_companies": """
   SELECT s_suppkey AS secid, s_name AS name, n_name AS sector, r_name AS country
