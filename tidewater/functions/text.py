@@ -137,7 +137,7 @@ def page_fields(html: Column) -> Column:
 
 def clean_article(x: Column, shortest: int = 20, boilerplate: Sequence[str] = ()) -> Column:
     """Lines of some length without boilerplate phrases."""
-    lines = F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: F.length(s) >= shortest)
+    lines = F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= shortest)
     phrases = [p.lower() for p in boilerplate]
     return F.array_join(F.filter(lines, lambda s: ~any_word(F.lower(s), phrases)), "\n")
 
@@ -247,7 +247,7 @@ def dates(x: Column) -> Column:
 def financial_bag(x: Column, limit: int = 20) -> Column:
     """Distinct matches of all financial patterns, at most `limit`, which is the feature."""
     parts = [F.regexp_extract_all(x, F.lit("(?iu)(" + p[5:] + ")"), 1) for p in (MONEY, PERCENT, AMOUNT)] + [periods(x), dates(x)]
-    return F.slice(F.array_distinct(F.transform(F.flatten(F.array(*parts)), F.trim)), 1, limit)
+    return F.slice(F.array_distinct(F.transform(F.flatten(F.array(*parts)), lambda s: F.trim(s))), 1, limit)
 
 
 def publish_time(x: Column, as_of: Column | None = None) -> Column:
