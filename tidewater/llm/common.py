@@ -88,3 +88,11 @@ def ranked(
         .withColumn(out, (F.col("_start") + F.col("_inner")).cast("long"))
         .drop("_bucket", "_b", "_start", "_inner", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """left joined to right, whose keys are unique, on `key`, with each key's left rows
+    dealt over `salts` tasks by `spread`; right is copied that many times."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return dealt.join(copies, [key, "_salt"], how).drop("_salt")

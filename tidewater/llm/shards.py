@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ranked, stored
+from tidewater.llm.common import ranked, salted_join, stored
 
 #: Rounds of propagation at most; it ends with the first round without a move.
 ROUNDS = 8
@@ -56,7 +56,7 @@ def propagate(links: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
         per_shard = member.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         votes = per_shard.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"))
         votes = votes.filter(F.size("votes") > 1)  # the others have all neighbours at hand
-        heard = member.join(stored(votes, "votes"), "hub", "left").groupBy("node", "shard").agg(
+        heard = salted_join(member, stored(votes, "votes"), "hub", F.col("node"), "left").groupBy("node", "shard").agg(
             F.min("hub").alias("hub"), F.collect_list("votes").alias("heard")
         )
         heard = heard.filter(F.size("heard") > 0)
@@ -90,7 +90,8 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
         "rows",
     )
     many = stored(slim.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and hub is not null").select("hub"), "copied")
-    labels = propagate(slim.select("node", "hub").join(many, "hub").select("node", "hub"), room := targets(slim.count(), shards), rounds)
+    linked = salted_join(slim.select("node", "hub"), many, "hub", F.col("node")).select("node", "hub")
+    labels = propagate(linked, room := targets(slim.count(), shards), rounds)
     sizes = {r.shard: r.n for r in labels.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     ends, end = [], 0
     for s in range(shards):
