@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import text_chunks
+from tidewater.llm.common import map_arrow, text_chunks
 
 #: Pieces of up to this many bytes share an array of trees.
 SHORT = 64
 #: Entries of a worker's table of encoded pieces; beyond it the table starts anew.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Trees that run side by side.
-LANES = 1 << 14
+LANES = 1 << 12
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,23 +51,23 @@ class SegmentTreeBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.top = max(ranks.values(), default=0) + 1
         missing = [i for i in range(256) if bytes([i]) not in ranks]
         if missing:
             raise ValueError(f"the ranks lack {len(missing)} single bytes")
         self.first = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = {}
+        pairs = [
+            (left * self.top + right, rank)
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if (left := ranks.get(token[:cut])) is not None and (right := ranks.get(token[cut:])) is not None
+        ]
+        table = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pair_keys, self.pair_ranks = table[:, 0].copy(), table[:, 1].copy()
+        self.token: list[bytes | None] = [None] * self.top
         for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[left * self.top + right] = rank
-        self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.token = [self.bytes_of.get(i) for i in range(self.top)]
+            self.token[rank] = token
         #: pieces and their ids as little-endian 32-bit integers
         self.memo: dict[str, bytes] = {}
 
@@ -81,9 +81,9 @@ class SegmentTreeBpe:
         token: list[int] = [int(self.first[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         tree = [none] * (2 * size)
-        get, top = self.pairs.get, self.top
+        of, rank_of = self.token, self.ranks.get
         for i in range(n - 1):
-            rank = get(token[i] * top + token[i + 1])
+            rank = rank_of(of[token[i]] + of[token[i + 1]])
             if rank is not None:
                 tree[size + i] = rank * size + i
         for i in range(size - 1, 0, -1):
@@ -91,7 +91,7 @@ class SegmentTreeBpe:
 
         def put(i: int) -> None:
             j = after[i]
-            rank = get(token[i] * top + token[j]) if token[i] >= 0 and j < n else None
+            rank = rank_of(of[token[i]] + of[token[j]]) if token[i] >= 0 and j < n else None
             node = size + i
             tree[node] = none if rank is None else rank * size + i
             while node > 1:
@@ -188,7 +188,7 @@ class SegmentTreeBpe:
     def learn(self, pieces: set[str]) -> None:
         """Put the encodings of these pieces into the table."""
         if len(self.memo) + len(pieces) > MEMO:
-            self.memo = {p: ids for p in pieces if (ids := self.memo.get(p)) is not None}
+            self.memo.clear()
         by_size: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             if piece in self.memo:
@@ -260,7 +260,7 @@ def encode(
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType(fields))
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, T.StructType(fields))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -276,7 +276,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
             raw = [None if x is None else b"".join(map(get, x)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(raw, pa.binary())], [*keep, out_col])
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import text_chunks
+from tidewater.llm.common import map_arrow, text_chunks
 
 #: Rows of the sample, on average.
 SAMPLE = 1000
@@ -155,7 +155,7 @@ def profile(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
                 out.append((rule.name, len(raw), rejected, time.perf_counter_ns() - began))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["name", "rows", "rejected", "ns"])
 
-    seen = drawn.mapInArrow(run, "name string, rows long, rejected long, ns long").groupBy("name").agg(F.sum("rows"), F.sum("rejected"), F.sum("ns"))
+    seen = map_arrow(drawn, run, "name string, rows long, rejected long, ns long").groupBy("name").agg(F.sum("rows"), F.sum("rejected"), F.sum("ns"))
     by_name = {r[0]: Profile(*r) for r in seen.collect()}
     return [by_name.get(r.name, Profile(r.name, 0, 0, 0)) for r in rules]
 
@@ -196,5 +196,5 @@ def run(
             kept = pa.array([x is None for x in by], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column("id"), kept, pa.array(by, pa.string()), *columns], schema.names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), each, schema)
     return out.withColumnRenamed("id", id_col)

@@ -47,6 +47,14 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with Arrow batches of CHUNK_BYTES instead of a number of
+    rows, so the memory of a Python worker and of the buffers beside the heap doesn't
+    depend on the length of texts. The limit is set for the session, as plans run later."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_chunks(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:

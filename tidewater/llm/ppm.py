@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import text_chunks
+from tidewater.llm.common import map_arrow, text_chunks
 
 #: Longest context, in bytes.
 ORDER = 3
@@ -169,7 +169,7 @@ def learn(
                 key, many = _grams([t for t, name in zip(texts, names, strict=True) if name == x])
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(many, pa.int64())], ["lang", "key", "n"])
 
-    grams = sample.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    grams = map_arrow(sample, run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     lang, key, n = (grams.column(c).to_numpy() for c in ("lang", "key", "n"))
     return build({str(x): (key[lang == x], n[lang == x]) for x in set(lang.tolist())})
 
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             lang, score, per_byte = _judge(shared.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(per_byte)], schema.names)
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -213,7 +213,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             lang, score, _ = _judge(shared.value, part.column(text_col).to_pylist())
             yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
