@@ -202,3 +202,19 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "id int, day string")
     files.write_partitioned(df, str(tmp_path / "p"), "day")
     assert spark.read.parquet(str(tmp_path / "p")).filter("day = '2024-01-02'").count() == 1
+
+
+def test_sector_tree_of_every_taxonomy(spark):
+    icb = {r.code: r.path for r in nlp.sector_tree(spark).collect()}
+    assert icb["9010"] == "9000/9010" and len(icb) == 47
+    assert {r.level for r in nlp.sector_tree(spark, "gics").collect()} == {1}
+
+
+def test_draft_request_and_backfill(spark):
+    from tidewater.plans import pipelines
+
+    hits = spark.createDataFrame([(1, "u1", "text one"), (2, "u2", "text two"), (3, "u3", "three")], "final_position int, url string, text string")
+    d = pipelines.draft_request(hits, "q" * 120).first()
+    assert d.headline == "q" * 97 + "..." and d.sources == ["u1", "u2", "u3"] and d.summary == "text one text two"
+    with pytest.raises(ValueError):
+        pipelines.backfill_batches(hits, ["a"], 10, 5)

@@ -106,3 +106,10 @@ def test_events(spark):
     assert (s.label, s.score) == ("NEUTRAL", 0.5)
     sig = value(spark, nlp.signals(F.lit("NEGATIVE"), F.lit(0.95), F.lit("x"), F.array(F.lit("A")), ["default"]))
     assert [(x.company, x.signal) for x in sig] == [("A", "SELL")]
+
+
+def test_entities(spark):
+    e = value(spark, nlp.entities(F.lit("Сбербанк и Газпром на MOEX: прибыль 100 млрд руб")))
+    assert {(c.name, c.ticker) for c in e.companies} == {("СБЕРБАНК", "SBER"), ("ГАЗПРОМ", "GAZP")}
+    assert [(m.name, m.type) for m in e.markets] == [("MOEX", "биржа")]
+    assert [(m.metric_type, m.value) for m in e.financial_metrics] == [("прибыль", 100e9)]

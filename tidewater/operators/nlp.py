@@ -171,3 +171,29 @@ def sentiment(text: Column, positive: Sequence[str], negative: Sequence[str]) ->
 def numbered(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
     """Positions within a result that fits a page."""
     return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+
+
+def sector_tree(spark, taxonomy: str = "icb") -> DataFrame:
+    """(code, name, level, root, path) of a taxonomy, by a recursive query over parents."""
+    spark.createDataFrame(dims.TAXONOMIES[taxonomy], "code string, name string, parent string").createOrReplaceTempView("_sectors")
+    return spark.sql("""
+        WITH RECURSIVE t AS (
+          SELECT code, name, 1 AS level, code AS root, code AS path FROM _sectors WHERE parent IS NULL
+          UNION ALL SELECT s.code, s.name, t.level + 1, t.root, concat(t.path, '/', s.code) FROM _sectors s JOIN t ON s.parent = t.code)
+        SELECT * FROM t""")
+
+
+def entities(text: Column, companies: dict[str, tuple[str, str]] | None = None, markets: dict[str, str] | None = None, metrics: dict[str, str] | None = None) -> Column:
+    """struct<companies, markets, financial_metrics>: the built-in extractor, from dictionaries
+    and number patterns. A model takes its place as any function of a column."""
+    words = F.transform(T.word_set(text), lambda w: F.upper(w))
+    companies, markets, metrics = companies or dims.GLOSSARY_COMPANIES, markets or dims.GLOSSARY_MARKETS, metrics or dims.METRIC_WORDS
+    has = lambda name: F.array_contains(words, name.upper())
+    found = [F.when(has(n), F.struct(F.lit(n).alias("name"), F.lit(t).alias("ticker"), F.lit(s).alias("sector"))) for n, (t, s) in companies.items()]
+    places = [F.when(has(n), F.struct(F.lit(n).alias("name"), F.lit(k).alias("type"))) for n, k in markets.items()]
+    low, sums = F.lower(text), T.money(text)
+    kinds = F.array_compact(F.array(*[F.when(low.contains(stem), F.lit(name)) for stem, name in metrics.items()]))
+    return F.struct(
+        F.array_compact(F.array(*found)).alias("companies"), F.array_compact(F.array(*places)).alias("markets"),
+        F.transform(kinds, lambda k: F.struct(k.alias("metric_type"), F.get(sums, F.lit(0))["amount"].alias("value"))).alias("financial_metrics"),
+    )

@@ -235,3 +235,45 @@ ALIASES = {
 # Seconds: windows of impact and their lookbacks; days: windows of correlation.
 IMPACT_WINDOWS = {"15m": (900, 3600), "1h": (3600, 14400), "1d": (86400, 86400), "5d": (432000, 432000)}
 CORRELATION_DAYS = {"1M": 30, "3M": 90, "6M": 180, "1Y": 365, "2Y": 730, "5Y": 1825}
+
+# Industry codes: code, name, parent.
+INDUSTRIES = [
+    ("1000", "Oil & Gas", None), ("2000", "Basic Materials", None), ("3000", "Industrials", None), ("4000", "Consumer Goods", None),
+    ("5000", "Health Care", None), ("6000", "Consumer Services", None), ("7000", "Telecommunications", None), ("8000", "Utilities", None),
+    ("9000", "Financials", None), ("9500", "Technology", None),
+    ("1010", "Oil & Gas Producers", "1000"), ("1020", "Oil Equipment & Services", "1000"),
+    ("2010", "Chemicals", "2000"), ("2020", "Forestry & Paper", "2000"), ("2030", "Industrial Metals", "2000"), ("2040", "Mining", "2000"),
+    ("3010", "Aerospace & Defense", "3000"), ("3020", "General Industrials", "3000"), ("3030", "Electronic & Electrical Equipment", "3000"),
+    ("3040", "Industrial Engineering", "3000"), ("3050", "Industrial Transportation", "3000"),
+    ("4010", "Automobiles & Parts", "4000"), ("4020", "Beverages", "4000"), ("4030", "Food & Drug Retailers", "4000"), ("4040", "Food Producers", "4000"),
+    ("4050", "Household Goods", "4000"), ("4060", "Personal Care", "4000"), ("4070", "Tobacco", "4000"),
+    ("5010", "Health Care Equipment & Services", "5000"), ("5020", "Pharmaceuticals & Biotechnology", "5000"),
+    ("6010", "General Retailers", "6000"), ("6020", "Leisure & Hotels", "6000"), ("6030", "Media", "6000"), ("6040", "Support Services", "6000"), ("6050", "Travel & Tourism", "6000"),
+    ("7010", "Fixed Line Telecommunications", "7000"), ("7020", "Mobile Telecommunications", "7000"), ("7030", "Telecommunications Equipment", "7000"),
+    ("8010", "Electricity", "8000"), ("8020", "Gas, Water & Multi-utilities", "8000"),
+    ("9010", "Banks", "9000"), ("9020", "Non-life Insurance", "9000"), ("9030", "Life Insurance", "9000"), ("9040", "Real Estate", "9000"), ("9050", "Financial Services", "9000"),
+    ("9510", "Software & Computer Services", "9500"), ("9520", "Technology Hardware & Equipment", "9500"),
+]
+# Top sectors of two other taxonomies.
+GICS = {"10": "Energy", "15": "Materials", "20": "Industrials", "25": "Consumer Discretionary", "30": "Consumer Staples", "35": "Health Care", "40": "Financials", "45": "Information Technology", "50": "Communication Services", "55": "Utilities", "60": "Real Estate"}
+NACE = {
+    "A": "Agriculture, Forestry and Fishing", "B": "Mining and Quarrying", "C": "Manufacturing", "D": "Electricity, Gas, Steam and Air Conditioning Supply",
+    "E": "Water Supply; Sewerage, Waste Management and Remediation Activities", "F": "Construction", "G": "Wholesale and Retail Trade; Repair of Motor Vehicles and Motorcycles",
+    "H": "Transportation and Storage", "I": "Accommodation and Food Service Activities", "J": "Information and Communication", "K": "Financial and Insurance Activities",
+    "L": "Real Estate Activities", "M": "Professional, Scientific and Technical Activities", "N": "Administrative and Support Service Activities",
+    "O": "Public Administration and Defence; Compulsory Social Security", "P": "Education", "Q": "Human Health and Social Work Activities",
+    "R": "Arts, Entertainment and Recreation", "S": "Other Service Activities", "T": "Activities of Households as Employers", "U": "Activities of Extraterritorial Organizations and Bodies",
+}
+TAXONOMIES = {"icb": INDUSTRIES, "gics": [(k, v, None) for k, v in GICS.items()], "nace": [(k, v, None) for k, v in NACE.items()]}
+
+# Glossary of the built-in extractor: name, (ticker, sector) or kind.
+GLOSSARY_COMPANIES = {
+    "ГАЗПРОМ": ("GAZP", "Нефть и газ"), "ЛУКОЙЛ": ("LKOH", "Нефть и газ"), "СБЕРБАНК": ("SBER", "Финансы"), "СБЕР": ("SBER", "Финансы"), "ВТБ": ("VTBR", "Финансы"),
+    "ЯНДЕКС": ("YNDX", "Технологии"), "НОРНИКЕЛЬ": ("GMKN", "Металлургия"), "РОСНЕФТЬ": ("ROSN", "Нефть и газ"), "НОВАТЭК": ("NVTK", "Нефть и газ"), "МАГНИТ": ("MGNT", "Ритейл"),
+    "X5": ("FIVE", "Ритейл"), "ОЗОН": ("OZON", "E-commerce"), "МТС": ("MTSS", "Телеком"), "МЕГАФОН": ("MFON", "Телеком"),
+}
+GLOSSARY_MARKETS = {"ММВБ": "индекс", "IMOEX": "индекс", "РТС": "индекс", "RTSI": "индекс", "MOEX": "биржа", "МОСБИРЖА": "биржа", "СПБ": "биржа"}
+METRIC_WORDS = {"прибыл": "прибыль", "выручк": "выручка", "дивиденд": "дивиденды", "убыт": "убыток"}
+
+# Exchanges: open and close, local hours.
+EXCHANGE_HOURS = {"MOEX": (10, 19, "Europe/Moscow"), "NYSE": (9, 16, "America/New_York"), "NASDAQ": (9, 16, "America/New_York")}

@@ -918,3 +918,125 @@ SELECT min(us) AS start, user_id, count(*) AS n FROM (
     SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) < 3600000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def session_counts(v):
     return streams.sessions(streams.event_time(v.table("events"), "ts"), "ts", "1 hour")
+
+
+# further shapes
+
+
+def _values(rows) -> str:
+    cell = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(cell(x) for x in r) + ")" for r in rows)
+
+
+@query(f"""
+WITH RECURSIVE s(code, name, parent) AS (VALUES {_values(dims.INDUSTRIES)}),
+t AS (SELECT code, name, 1 AS level, code AS root, code AS path FROM s WHERE parent IS NULL UNION ALL SELECT s.code, s.name, t.level + 1, t.root, t.path || '/' || s.code FROM s JOIN t ON s.parent = t.code)
+SELECT * FROM t""")
+def sector_tree(v):
+    return nlp.sector_tree(v.spark)
+
+
+@query("""
+SELECT id, array_to_string(list_filter([CASE WHEN contains(t, 'tion') THEN 'dividends' END, CASE WHEN contains(t, 'worthless') OR contains(t, 'trash') THEN 'junk' END, CASE WHEN contains(t, 'der ') THEN 'german' END], lambda x: x IS NOT NULL), ',') AS tags
+FROM (SELECT id, lower(title || ' ' || text_plain) AS t FROM v_news)""")
+def news_tags(v):
+    w = [("dividends", ["tion"]), ("junk", ["worthless", "trash"]), ("german", ["der "])]
+    return v.news().select("id", F.array_join(nlp.tags(F.col("title"), F.col("text_plain"), w), ",").alias("tags"))
+
+
+@query("""
+SELECT id, CASE WHEN p > n THEN 'POSITIVE' WHEN n > p THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label, round(CASE WHEN p + n = 0 THEN 0 ELSE greatest(p, n) / (p + n)::DOUBLE END, 6) AS score
+FROM (SELECT id, len(list_intersect(w, ['the', 'and', 'der'])) AS p, len(list_intersect(w, ['worthless', 'trash', 'disgusting', 'of'])) AS n
+      FROM (SELECT id, list_distinct(regexp_extract_all(lower(text_plain), '[\\p{L}\\p{N}_]+')) AS w FROM v_news))""".replace("\\\\", "\\"))
+def sentiment_labels(v):
+    s = nlp.sentiment(F.col("text_plain"), ["the", "and", "der"], ["worthless", "trash", "disgusting", "of"])
+    return v.news().select("id", s.alias("s")).select("id", "s.label", F.round("s.score", 6).alias("score"))
+
+
+@query("""
+SELECT src.lang, a.n AS labelled, b.n AS unlabelled FROM (SELECT DISTINCT lang FROM documents) src
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang) a USING (lang)
+LEFT JOIN (SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang) b USING (lang)""")
+def set_operations(v):
+    d = v.table("documents").select("doc_id", "lang")
+    ids, labelled = d.select("doc_id"), v.table("labels").select("doc_id")
+    a, b = ids.intersect(labelled), ids.exceptAll(labelled)
+    count = lambda x, name: d.join(x, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias(name))
+    return d.select("lang").distinct().join(count(a, "labelled"), "lang", "left").join(count(b, "unlabelled"), "lang", "left")
+
+
+@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, '{\"id\":' || event_id || ',\"type\":\"' || event_type || '\"}' AS payload FROM events")
+def json_payloads(v):
+    e = v.table("events")
+    k = F.variant_get(F.parse_json("props"), "$.k", "int")
+    return e.select(F.col("event_id").alias("id"), k.alias("k"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("payload"))
+
+
+@query("SELECT count(*) AS n, CAST(ceil(count(*) / 50.0) AS BIGINT) AS batches FROM v_news WHERE source IN ('src1', 'src2') AND pub BETWEEN 1704067200 AND 1704067200 + 86400 * 30")
+def backfill_plan(v):
+    from tidewater.plans import pipelines
+
+    return pipelines.backfill_batches(v.news(), ["src1", "src2"], 1704067200, 1704067200 + 86400 * 30)
+
+
+@query("""
+SELECT ticker, count(*) AS nodes, sum(n) AS links, round(least(10.0 * sum(n) / count(*), 10), 6) AS density
+FROM (SELECT ticker, company, count(*) AS n FROM v_events GROUP BY ALL) GROUP BY ticker""")
+def density_scores(v):
+    g = v.events().groupBy("ticker", "company").agg(F.count(F.lit(1)).alias("n")).groupBy("ticker").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("links"))
+    return g.withColumn("density", F.round(S.density_score(F.col("links"), F.col("nodes")), 6))
+
+
+@query("""
+SELECT market, id FROM (SELECT c_mktsegment AS market, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer)
+WHERE r <= CASE market WHEN 'BUILDING' THEN 10 WHEN 'MACHINERY' THEN 7 ELSE 3 END""")
+def market_quotas(v):
+    top = A.top_per_key(v.table("customer"), ["c_mktsegment"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 10)
+    return top.filter(F.col("rank") <= S.lookup(F.col("c_mktsegment"), {"BUILDING": 10, "MACHINERY": 7}, 3)).select(F.col("c_mktsegment").alias("market"), F.col("c_custkey").alias("id"))
+
+
+@query("""
+SELECT a.id AS a, b.id AS b, round(abs(b.us - a.us) / 3.6e9 + 1e-9, 6) AS hours, CASE WHEN a.us < b.us THEN 'a' WHEN b.us < a.us THEN 'b' END AS first, abs(b.us - a.us) <= 72 * 3600000000 AND a.us <> b.us AS plausible
+FROM v_events a JOIN v_events b ON a.company = b.company AND a.event_type = 'sanctions' AND b.event_type = 'm&a'""")
+def temporal_pairs(v):
+    e = v.events().select("id", "us", "company", "event_type")
+    a = e.filter("event_type = 'sanctions'").select(F.col("id").alias("a"), F.col("us").alias("ua"), "company")
+    b = e.filter("event_type = 'm&a'").select(F.col("id").alias("b"), F.col("us").alias("ub"), "company")
+    gap = F.abs(F.col("ub") - F.col("ua"))
+    first = F.when(F.col("ua") < F.col("ub"), "a").when(F.col("ub") < F.col("ua"), "b")
+    return a.join(b, "company").select("a", "b", F.round(gap / 3.6e9 + 1e-9, 6).alias("hours"), first.alias("first"), ((gap <= 72 * HOUR) & (F.col("ua") != F.col("ub"))).alias("plausible"))
+
+
+@query("""
+SELECT 'Company' AS label, count(*) AS n FROM supplier UNION ALL SELECT 'Sector', count(*) FROM nation UNION ALL SELECT 'Country', count(*) FROM region
+UNION ALL SELECT 'CAUSES', count(*) FROM v_edges UNION ALL SELECT 'orphan sector', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""")
+def graph_counts(v):
+    n = lambda df, label: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
+    empty = A.lacking(v.table("nation"), v.table("supplier"), "n_nationkey", "s_nationkey")
+    parts = [n(v.table("supplier"), "Company"), n(v.table("nation"), "Sector"), n(v.table("region"), "Country"), n(v.edges(), "CAUSES"), n(empty, "orphan sector")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("WITH " + PAIRS_SQL + "SELECT count(*) AS edges, count(DISTINCT cause_id) AS causes, round(sum(conf_total), 3) AS confidence FROM pairs")
+def event_graph_totals(v):
+    from tidewater.plans import pipelines
+
+    _, e = pipelines.event_graph(v.events(), v.news(), v.sources(), ["ticker"])
+    return e.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("cause_id").alias("causes"), F.round(F.sum("conf_total"), 3).alias("confidence"))
+
+
+@query("""
+SELECT n.id, s.kind FROM v_news n JOIN v_sources s ON n.source = s.code
+WHERE NOT (s.trust_level < 9 AND CASE WHEN contains(lower(text_plain), 'worthless') THEN 9.0 ELSE 0 END >= CASE WHEN s.trust_level >= 7 THEN 8.0 ELSE 5.0 END)""")
+def enrichment(v):
+    from tidewater.plans import pipelines
+
+    a = v.spark.createDataFrame([("the", "TTHE"), ("of the", "TOFT")], "alias string, ticker string")
+    listed = v.spark.createDataFrame([("ZZZZ9",)], "ticker string")
+    rules = ingest.SpamRules(hashtags=[], keywords=[("a", ["worthless"], 9.0)])
+    n = pipelines.enrich(v.news(), v.sources(), a, listed, rules)
+    s = v.sources().select("code", F.col("kind").alias("source_kind"))
+    return n.join(F.broadcast(s), F.col("source") == F.col("code")).select("id", F.col("source_kind").alias("kind"))
