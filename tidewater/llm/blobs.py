@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import shared_dir, stored, text_chunks
+from tidewater.llm.common import bit_map, map_arrow, probe, shared_dir, stored, text_chunks
 
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
@@ -136,7 +136,7 @@ class Ledger:
                     [part.column("blob").cast(pa.binary()), pa.array(todo, schema.field("rules").type), pa.array(spans, schema.field("spans").type)], schema=schema
                 )
 
-        self.unseen(versions, rules, text_col).mapInArrow(run, LEDGER).write.mode("append").parquet(self.folder)
+        map_arrow(self.unseen(versions, rules, text_col), run, LEDGER).write.mode("append").parquet(self.folder)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """(found, spans): each blob's spans of these rule versions, by start, then rule."""
@@ -178,7 +178,9 @@ def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, tex
     schema = docs.schema
     keyed = docs.withColumn("_blob", blob_of(F.col(text_col)))
     found = stored(ledger.findings(rules).filter(F.size("spans") > 0), "findings").select("found", F.col("spans").alias("_spans"))
-    joined = keyed.join(found, F.col("_blob") == F.col("found"), "left").drop("_blob", "found")
+    # documents whose blob certainly has no finding stay where they are
+    probed = probe(keyed, "_blob", bit_map(found, "found"))
+    joined = probed.filter("_may").drop("_may").join(found, F.col("_blob") == F.col("found"), "left").drop("_blob", "found")
 
     def cut(text: str, spans: list[dict]) -> str:
         out, at, end = [], 0, -1
@@ -202,4 +204,4 @@ def redact(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, tex
                     columns["n_chars"] = pa.array(new, old.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return joined.mapInArrow(run, schema)
+    return probed.filter("not _may").select(*schema.names).unionByName(map_arrow(joined, run, schema))

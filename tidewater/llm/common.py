@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: 64-bit words of a bit map of keys: a fixed size, so broadcasting the map is bounded.
+MAP_WORDS = 1 << 17
 #: Texts handed to Python in one go, in bytes; a single longer text goes alone.
 CHUNK_BYTES = 1 << 20
 
@@ -104,3 +106,31 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return dealt.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """(_slot, _bits): at most MAP_WORDS rows whose bits are hashes of the keys."""
+    h = F.xxhash64(key)
+    return keys.select(
+        F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).alias("_slot"), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")).alias("_bit")
+    ).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def probe(rows: DataFrame, key: str, marks: DataFrame) -> DataFrame:
+    """rows with `_may`: false if the key certainly isn't among those of the bit map."""
+    h = F.xxhash64(key)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    found = rows.join(F.broadcast(marks), F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)) == F.col("_slot"), "left")
+    return found.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_slot", "_bits")
+
+
+def without(rows: DataFrame, key: str, bad: DataFrame) -> DataFrame:
+    """rows whose key isn't in the one column of `bad`, a stored table; null is a key.
+
+    Rows that the bit map clears stay where they are; only the others are shuffled
+    for the exact anti-join, so few bad keys move few rows.
+    """
+    name = bad.columns[0]
+    probed = probe(rows, key, bit_map(bad, name))
+    suspects = probed.filter("_may").drop("_may").join(bad.withColumnRenamed(name, "_bad"), F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    return probed.filter("not _may").drop("_may").unionByName(suspects)

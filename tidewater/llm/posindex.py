@@ -32,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored
+from tidewater.llm.common import bit_map, probe, stored, without
 
 #: What separates words, after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,8 +41,6 @@ WIDE_CAPITALS = r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of test items up to which tables made of them are broadcast.
 BROADCAST_TERMS = 1 << 18
-#: 64-bit words of the bit map of documents, a fixed size.
-MAP_WORDS = 1 << 17
 
 
 def ascii_lower(text: Column) -> Column:
@@ -96,22 +94,6 @@ def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return Index(postings, vocabulary, words.withColumn("term_id", F.xxhash64("term")).drop("term"), small)
 
 
-def _bit_map(keys: DataFrame) -> DataFrame:
-    """(slot, bits): at most MAP_WORDS rows whose bits are the hashes of the keys."""
-    h = F.xxhash64("key")
-    return keys.select(
-        F.pmod(F.shiftrightunsigned(h, 6), F.lit(MAP_WORDS)).alias("slot"),
-        F.expr("shiftleft(1L, cast(xxhash64(key) & 63 as int))").alias("bit"),
-    ).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-
-
-def _on_map(rows: DataFrame, bit_map: DataFrame) -> DataFrame:
-    """Rows whose key may be in the map; its size is fixed, so it's broadcast."""
-    slot = F.pmod(F.shiftrightunsigned(F.xxhash64("key"), 6), F.lit(MAP_WORDS))
-    near = rows.join(F.broadcast(bit_map), slot == F.col("slot"))
-    return near.filter(F.expr("bits & shiftleft(1L, cast(xxhash64(key) & 63 as int)) <> 0")).drop("slot", "bits")
-
-
 def _ranked(index: Index) -> DataFrame:
     """The words of the items with the number of postings of their terms."""
     counts = index.postings.filter("term_id <> 0").groupBy("term_id").agg(F.count(F.lit(1)).alias("df"))
@@ -145,7 +127,7 @@ def phrases(index: Index, window: int = 10) -> DataFrame:
     expected = seeds.join(index.side(words.select("item", "item_id", "n", "ipos", "term_id")), "item").select(
         "key", "item", "item_id", "n", "shift", "ipos", "term_id", (F.col("shift") + F.col("ipos") + 1).alias("pos")
     )
-    near = _on_map(index.postings.filter("term_id <> 0"), _bit_map(seeds.select("key").distinct()))
+    near = probe(index.postings.filter("term_id <> 0"), "key", bit_map(seeds.select("key"), "key")).filter("_may").drop("_may")
     hits = expected.join(near, ["key", "pos", "term_id"])
     diagonal = Window.partitionBy("key", "item", "shift").orderBy("ipos")
     runs = hits.withColumn("island", F.col("ipos") - F.row_number().over(diagonal))
@@ -188,5 +170,5 @@ def contamination(index: Index, window: int = 10, id_col: str = "doc_id") -> Dat
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id has no row with a phrase of an item."""
-    bad = phrases(build(docs, items, id_col, text_col), window).select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    bad = stored(phrases(build(docs, items, id_col, text_col), window).select("id").distinct(), "contaminated")
+    return without(docs, id_col, bad)

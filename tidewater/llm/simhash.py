@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import stored, text_chunks
+from tidewater.llm.common import map_arrow, stored, text_chunks, without
 
 #: Members of a bucket that are compared in one cell, per side.
 CELL = 4096
@@ -69,7 +69,7 @@ def fingerprints(
             fp = np.array([fingerprint(t, words, seed) for t in raw], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
 def blocks_of(radius: int) -> list[tuple[int, int]]:
@@ -247,7 +247,7 @@ def links(distinct: DataFrame, radius: int = 2, cell: int = CELL) -> DataFrame:
         if held:
             yield flush(held)
 
-    return cells.mapInArrow(run, "a long, b long")
+    return map_arrow(cells, run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,9 +296,9 @@ def one_of_each(
     if a kept id occurs twice.
     """
     near = near_duplicates(docs, id_col, text_col, words, radius, seed)
-    kept = near.filter(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = stored(kept.select(F.col(id_col).alias("_kept"), "_rows"), "kept")
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    if kept.filter("_rows > 1").limit(1).count():
+    own = F.col(id_col).eqNullSafe(F.col("component"))
+    ids = stored(near.groupBy(F.col(id_col).alias("_id")).agg(F.bool_or(own).alias("_kept"), F.count(F.lit(1)).alias("_rows")), "ids")
+    out = without(docs, id_col, ids.filter("not _kept").select("_id"))
+    if ids.filter("_kept and _rows > 1").limit(1).count():
         out = out.withColumn("_same", F.sha2(F.col(text_col).cast("binary"), 256)).dropDuplicates([id_col, "_same"]).drop("_same")
     return out
