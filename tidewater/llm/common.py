@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,21 +40,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table made by stored()."""
-    spark = df.sparkSession
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()[:1]}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+def drop_stored(table: DataFrame) -> None:
+    """Delete a table made by stored() that nothing reads any more; others are left alone."""
+    spark, at = table.sparkSession, getattr(table, "_stored_at", None)
+    if at:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: it is added to the
+    session's Python files once, as a zip that the driver serves."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_tidewater_shipped", False) or not os.path.isdir(root):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewater-"), "tidewater.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._tidewater_shipped = True
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) with Arrow batches of CHUNK_BYTES instead of a number of
     rows, so the memory of a Python worker and of the buffers beside the heap doesn't
     depend on the length of texts. The limit is set for the session, as plans run later."""
+    ship_package(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
     return df.mapInArrow(run, schema)
 

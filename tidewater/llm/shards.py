@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ranked, salted_join, stored
+from tidewater.llm.common import drop_stored, ranked, salted_join, stored
 
 #: Rounds of propagation at most; it ends with the first round without a move.
 ROUNDS = 8
@@ -56,7 +56,8 @@ def propagate(links: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
         per_shard = member.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         votes = per_shard.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"))
         votes = votes.filter(F.size("votes") > 1)  # the others have all neighbours at hand
-        heard = salted_join(member, stored(votes, "votes"), "hub", F.col("node"), "left").groupBy("node", "shard").agg(
+        votes = stored(votes, "votes")
+        heard = salted_join(member, votes, "hub", F.col("node"), "left").groupBy("node", "shard").agg(
             F.min("hub").alias("hub"), F.collect_list("votes").alias("heard")
         )
         heard = heard.filter(F.size("heard") > 0)
@@ -69,9 +70,12 @@ def propagate(links: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFr
         asked = best.filter("to <> shard")
         queue = ranked(asked, ["to"], _bucket("hub", F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(16))), [F.col("hub"), F.col("node")], "rank")
         granted = stored(queue.filter(F.col("rank") < F.element_at(free, F.col("to") + 1)).select("node", F.col("to")), "moves")
+        drop_stored(votes)
         if not granted.limit(1).count():
             break
-        labels = stored(labels.join(granted, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "labels")
+        last, labels = labels, stored(labels.join(granted, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), "labels")
+        drop_stored(last)
+        drop_stored(granted)
     return labels
 
 

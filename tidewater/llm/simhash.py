@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import map_arrow, stored, text_chunks, without
+from tidewater.llm.common import drop_stored, map_arrow, stored, text_chunks, without
 
 #: Members of a bucket that are compared in one cell, per side.
 CELL = 4096
@@ -265,7 +265,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a")
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = stored(small.filter("a <> b").distinct(), "links")
+        last, edges = edges, stored(small.filter("a <> b").distinct(), "links")
+        drop_stored(last)
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
