@@ -218,3 +218,16 @@ def test_draft_request_and_backfill(spark):
     assert d.headline == "q" * 97 + "..." and d.sources == ["u1", "u2", "u3"] and d.summary == "text one text two"
     with pytest.raises(ValueError):
         pipelines.backfill_batches(hits, ["a"], 10, 5)
+
+
+def test_aliases_recipients_profiles(spark):
+    known = spark.createDataFrame([("a", "A1")], "alias string, ticker string")
+    found = spark.createDataFrame([("a", "A2"), ("b", "B2"), ("b", "B1")], "alias string, ticker string")
+    assert {tuple(r) for r in ingest.learned_aliases(known, found).collect()} == {("a", "A1"), ("b", "B1")}
+    links = spark.createDataFrame([(1, "x"), (1, "y")], "id int, subject string")
+    subs = spark.createDataFrame([("u", "x"), ("u", "y"), ("w", "z")], "user string, subject string")
+    assert [tuple(r) for r in ingest.recipients(links, subs).collect()] == [(1, "u")]
+    prices = spark.createDataFrame([(1, datetime.date(2024, 1, 1), 2.0, 1.0), (1, datetime.date(2024, 1, 2), 3.0, 1.0)], "secid int, day date, close double, volume double")
+    companies = spark.createDataFrame([(1, "a"), (2, "b")], "secid int, name string")
+    shares = spark.createDataFrame([(1, 10)], "secid int, shares long")
+    assert {r.name: r.cap for r in market.company_profile(companies, prices, shares).collect()} == {"a": 30.0, "b": None}

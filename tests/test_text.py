@@ -113,3 +113,23 @@ def test_entities(spark):
     assert {(c.name, c.ticker) for c in e.companies} == {("СБЕРБАНК", "SBER"), ("ГАЗПРОМ", "GAZP")}
     assert [(m.name, m.type) for m in e.markets] == [("MOEX", "биржа")]
     assert [(m.metric_type, m.value) for m in e.financial_metrics] == [("прибыль", 100e9)]
+
+
+def test_udfs(spark):
+    from tidewater.functions import udfs
+
+    text = "\n\n".join(" ".join(f"word{i}{j}" for j in range(30)) for i in range(5)) + "\n\n" + "y" * 700
+    for size, overlap in ((100, 20), (300, 50), (50, 0)):
+        chunks = udfs.split_recursively(text, size, overlap)
+        assert all(0 < len(c) <= size for c in chunks)
+        assert all(w in " ".join(chunks) for w in text.split()[:-1])
+    assert "".join(udfs.split_recursively("y" * 700, 100, 0)) == "y" * 700
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id int, t string")
+    got = {r.id: r.c for r in df.select("id", udfs.recursive_chunks(F.col("t"), 100, 20).alias("c")).collect()}
+    assert got == {1: udfs.split_recursively(text, 100, 20), 2: [], 3: []}
+    pairs = spark.createDataFrame([("abcd", "bcde"), (None, "x")], "a string, b string")
+    assert [r.v for r in pairs.select(udfs.sequence_ratio(F.col("a"), F.col("b")).alias("v")).collect()] == [0.75, None]
+    j = spark.createDataFrame([('x {"a": "}", "b": {"c": 1}} y {',), ("none",), (None,)], "t string")
+    assert [r.v for r in j.select(udfs.balanced_json(F.col("t")).alias("v")).collect()] == ['{"a": "}", "b": {"c": 1}}', None, None]
+    udfs.parsers.register("site", T.page_fields)
+    assert udfs.parsers.names() == ["site"] and udfs.parsers["site"] is T.page_fields

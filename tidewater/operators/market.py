@@ -87,3 +87,10 @@ def event_study(events: DataFrame, prices: DataFrame, estimation: int = 30, leas
     z = F.abs("ar") / F.nullif(F.col("sigma"), F.lit(0.0))
     out = out.withColumn("significant", F.coalesce(significant, F.lit(False)))
     return out.withColumn("confidence", F.coalesce(S.market_confidence(z, F.col("significant")), F.lit(0.0))).withColumn("score", S.impact_score(F.col("ar"), F.col("sigma")))
+
+
+def company_profile(companies: DataFrame, prices: DataFrame, shares: DataFrame) -> DataFrame:
+    """Companies with their last price and capitalisation; null without a price or shares."""
+    s = shares.groupBy(F.col("secid").alias("_s")).agg(F.max("shares").alias("shares"))
+    out = companies.join(last_price(prices).select(F.col("secid").alias("_p"), "close"), F.col("secid") == F.col("_p"), "left").join(s, F.col("secid") == F.col("_s"), "left")
+    return out.withColumn("cap", F.col("close") * F.col("shares")).drop("_p", "_s")

@@ -1040,3 +1040,47 @@ def enrichment(v):
     n = pipelines.enrich(v.news(), v.sources(), a, listed, rules)
     s = v.sources().select("code", F.col("kind").alias("source_kind"))
     return n.join(F.broadcast(s), F.col("source") == F.col("code")).select("id", F.col("source_kind").alias("kind"))
+
+
+@query("""
+SELECT c.secid, c.sector, round(p.close, 6) AS close, round(p.close * (1000 + c.secid), 4) AS cap
+FROM v_companies c LEFT JOIN (SELECT secid, max_by(close, day) AS close FROM v_prices GROUP BY secid) p USING (secid)""")
+def company_profile(v):
+    shares = v.companies().select("secid", (F.col("secid") + 1000).alias("shares"))
+    p = market.company_profile(v.companies(), v.prices(), shares)
+    return p.select("secid", "sector", F.round("close", 6).alias("close"), F.round("cap", 4).alias("cap"))
+
+
+@query("""
+SELECT DISTINCT n.id, u.user FROM (SELECT id, source AS subject FROM v_news UNION ALL SELECT news_id, ticker FROM v_events) n
+JOIN (SELECT c_custkey AS user, 'src' || (c_custkey % 20) AS subject FROM customer WHERE c_custkey < 40 UNION ALL SELECT c_custkey, 'T' || (c_custkey % 7) FROM customer WHERE c_custkey < 10) u USING (subject)""")
+def notified_users(v):
+    links = v.news().select("id", F.col("source").alias("subject")).unionByName(v.events().select(F.col("news_id").alias("id"), F.col("ticker").alias("subject")))
+    c = v.table("customer").select(F.col("c_custkey").alias("user"))
+    one = lambda head, n: F.concat(F.lit(head), (F.col("user") % n).cast("string")).alias("subject")
+    subs = c.filter("user < 40").select("user", one("src", 20)).unionByName(c.filter("user < 10").select("user", one("T", 7)))
+    return ingest.recipients(links, subs)
+
+
+@query("""
+SELECT event_type, count(*) AS calls, round(100.0::DOUBLE * count(*) FILTER (k % 3 = 0) / count(*), 6) AS hit_percent,
+       round(100.0::DOUBLE * sum(k % 10) / (sum(k) + sum(k % 10)), 6) AS saved_percent, round(avg(value) + 1e-9, 6) AS mean_cost FROM v_events GROUP BY event_type""")
+def extractor_usage(v):
+    e = v.events().select("event_type", (F.col("k") % 3 == 0).alias("hit"), F.col("k").alias("tokens"), (F.col("k") % 10).alias("saved"), (F.col("value") + 1e-9).alias("cost"))
+    return ingest.usage(e, "event_type")
+
+
+@query("SELECT * FROM (SELECT 'a' || (n_nationkey % 7) AS alias, min('N' || n_nationkey) AS ticker FROM nation WHERE 'a' || (n_nationkey % 7) NOT IN (SELECT 'a' || r_regionkey FROM region) GROUP BY 1) UNION ALL SELECT 'a' || r_regionkey, 'R' || r_regionkey FROM region")
+def alias_learning(v):
+    known = v.table("region").select(F.concat(F.lit("a"), F.col("r_regionkey").cast("string")).alias("alias"), F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("ticker"))
+    found = v.table("nation").select(F.concat(F.lit("a"), (F.col("n_nationkey") % 7).cast("string")).alias("alias"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("ticker"))
+    return ingest.learned_aliases(known, found)
+
+
+@query()
+def recursive_chunks(v):
+    """Recursive splitter over whole texts; held against its definition in the tests."""
+    from tidewater.functions.udfs import recursive_chunks as split
+
+    c = v.news().select("id", F.posexplode(split(F.col("text_plain"), 800, 200)).alias("chunk_index", "chunk"))
+    return c.select("id", "chunk_index", F.length("chunk").alias("n"), F.sha2("chunk", 256).alias("hash"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,3 +31,21 @@ def get_session(cores: int | None = None, app: str = "tidewater", **conf: str) -
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: it is added to the
+    session's Python files once, as a zip that the driver serves."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_tidewater_shipped", False) or not os.path.isdir(root):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewater-"), "tidewater.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._tidewater_shipped = True
