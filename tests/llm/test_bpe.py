@@ -56,6 +56,8 @@ def test_frame_round_trip(spark, theirs):
         for i, t, *_ in rows
     )
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    texts = bpe.encode(docs, PATH, P.PATTERN, with_decoded=True, with_text=True)
+    assert sorted(map(str, bpe.digests(texts).collect())) == sorted(map(str, got))
     again = bpe.decode(out.drop("decoded"), PATH)
     assert {(r.doc_id, bytes(r.decoded)) for r in again.collect()} == {(i, (t or "").encode()) for i, t, *_ in rows}
 

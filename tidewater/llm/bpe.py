@@ -68,6 +68,7 @@ class SegmentTreeBpe:
         self.token: list[bytes | None] = [None] * self.top
         for token, rank in ranks.items():
             self.token[rank] = token
+        self.decimal = [str(i) for i in range(self.top)]
         #: pieces and their ids as little-endian 32-bit integers
         self.memo: dict[str, bytes] = {}
 
@@ -217,6 +218,10 @@ class SegmentTreeBpe:
         """The bytes of ids."""
         return b"".join(map(self.token.__getitem__, ids.tolist()))
 
+    def text_of(self, ids: np.ndarray) -> str:
+        """The ids as decimal numbers, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist()))
+
 
 #: The encoder that a Python worker holds from one task to the next, by the call that made it.
 _held: dict[str, SegmentTreeBpe] = {}
@@ -236,8 +241,10 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_decoded: bool = False,
+    with_text: bool = False,
 ) -> DataFrame:
-    """(id, ids array<int>[, decoded binary]) for every row of docs.
+    """(id, ids array<int>[, decoded binary][, ids_text]) for every row of docs;
+    ids_text has the ids as decimal numbers, joined by commas.
 
     The rank file is read on the driver and broadcast; its size is that of the
     vocabulary. No shuffle: the work follows the input's splits.
@@ -247,6 +254,8 @@ def encode(
     fields = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     if with_decoded:
         fields.append(T.StructField("decoded", T.BinaryType()))
+    if with_text:
+        fields.append(T.StructField("ids_text", T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(call, *table.value)
@@ -258,6 +267,9 @@ def encode(
             if with_decoded:
                 columns.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
                 names.append("decoded")
+            if with_text:
+                columns.append(pa.array([bpe.text_of(x) for x in ids], pa.string()))
+                names.append("ids_text")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, T.StructType(fields))
@@ -280,11 +292,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """Count and SHA-256 digests of what encode(with_decoded=True) returns."""
+    """Count and SHA-256 digests of what encode(with_decoded=True) returns. With ids_text
+    the JVM hashes that instead of making a string of each id, which fills its heap."""
+    text = F.col("ids_text") if "ids_text" in encoded.columns else F.array_join(F.col("ids").cast("array<string>"), ",")
     return encoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         *(extra or []),
     )

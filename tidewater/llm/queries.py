@@ -160,7 +160,7 @@ FROM ruled
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     path = public_tokenizers.path(RANKS)
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True))
+    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN, with_decoded=True, with_text=True))
 
 
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
