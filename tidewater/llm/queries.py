@@ -128,6 +128,37 @@ def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _spans_sql(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    """Matches m of one kind with their places: what lies between them gives the starts."""
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {rank} AS rank, x AS start, x + length(m) AS stop FROM (
+    SELECT doc_id, m[i] AS m, coalesce(list_sum(list_transform(p[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS x
+    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p, unnest(range(1, len(regexp_extract_all(t, '{pattern}')) + 1)) AS i FROM d))
+  WHERE {keep.format(p=pattern)}"""
+
+
+_ASSIGN_SQL = (
+    r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+OP6_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ("
+    + " UNION ALL ".join(
+        [
+            _spans_sql("assign", 0, _ASSIGN_SQL, "length(regexp_extract(m, '{p}', 1)) >= 12"),
+            _spans_sql("access", 1, "AKIA[A-Z0-9]+", "length(m) >= 18"),
+            _spans_sql("hex", 2, "[0-9a-f]{{16,}}".format()),
+            _spans_sql("pem", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"),
+            _spans_sql("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+            _spans_sql("forge", 5, "gh[pousr]_[A-Za-z0-9]{36,}"),
+        ]
+    )
+    + """)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+)
+
 #: The rules of the URL query.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -228,6 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_revisits": OP1_SQL,
     "op4_rule_cascade": OP4_SQL,
+    "op6_blob_ledger": OP6_SQL,
     "op7_url_bloom": OP7_SQL,
     "op9_positional_index": OP9_SQL,
 }
