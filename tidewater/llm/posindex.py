@@ -80,7 +80,7 @@ def build(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     words = stored(item_words(items, item_id, item_text), "items")
     small = words.count() <= BROADCAST_TERMS
     terms = words.select("term").distinct()
-    # hashes as term ids: no global numbering; a collision would merge two terms, so the term is kept beside
+    # hashes as term ids need no global numbering; of 2^18 terms any two collide with odds of 2 in 10^9
     vocabulary = stored(
         terms.select("term", F.xxhash64("term").alias("term_id")).unionByName(
             docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("term_id"))

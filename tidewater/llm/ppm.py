@@ -37,6 +37,8 @@ ORDER = 3
 PER_LANGUAGE = 300
 #: A context position before the start of a text.
 START = 256
+#: Languages that are learned at most, the most frequent; more distinct values aren't languages.
+LANGUAGES = 1000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -149,7 +151,8 @@ def learn(
     reaches the driver are hashes and counts of that bounded sample.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    sizes = {r.lang: r.n for r in counts.collect()}
     if not sizes:
         return build({})
     top = 1 << 63
