@@ -37,6 +37,20 @@ def test_asof_join(spark):
     assert {r.id: r.v for r in asof_join(left, right, ["k"], "t", "u", ["v"], forward=True).collect()} == {1: 3.0, 2: 1.0, 3: None, 4: 4.0}
 
 
+def test_asof_join_with_a_tolerance(spark):
+    rng = random.Random(12)
+    a = [(i, rng.choice("xy"), ts(rng.randint(0, 5000))) for i in range(60)]
+    b = [(rng.choice("xy"), ts(rng.randint(0, 5000)), i) for i in range(25)]
+    left, right = spark.createDataFrame(a, "id int, k string, t timestamp"), spark.createDataFrame(b, "k string, u timestamp, v int")
+    for forward in (False, True):
+        got = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "u", ["v"], tolerance=300, forward=forward).collect()}
+        for i, k, t in a:
+            gap = lambda y, t=t: (y[1] - t).total_seconds() * (1 if forward else -1)
+            near = [y for y in b if y[0] == k and 0 <= gap(y) <= 300]
+            best = min(near, key=lambda y: (gap(y), -y[2]), default=None)
+            assert got[i] == (best[2] if best else None)
+
+
 def test_near_window_equals_counting(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice("xy"), rng.randint(0, 500)) for i in range(120)]

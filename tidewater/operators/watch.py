@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scores as S
 from tidewater.operators.analytics import top_per_key
 from tidewater.plans import dims
-from tidewater.plans.joins import interval_join
+from tidewater.plans.joins import asof_join
 
 
 def rules_table(spark, level: str | None = None, rules=None) -> DataFrame:
@@ -66,11 +66,18 @@ def type_matches(predicted: Column, actual: Column) -> Column:
 
 def fulfilled(made: DataFrame, events: DataFrame, widest_days: int = 30) -> DataFrame:
     """Predictions (prediction_id, predicted_type, from_ts, due_ts) with the first event
-    that fulfils them; null ids where none does."""
-    e = events.select(F.col("id").alias("actual_id"), F.col("ts").alias("actual_ts"), F.col("event_type").alias("actual_type"))
-    hit = interval_join(made.select("prediction_id", "predicted_type", "from_ts", "due_ts"), e, "from_ts", "actual_ts", 0, widest_days * 86400)
-    hit = hit.filter((F.col("actual_ts") <= F.col("due_ts")) & type_matches(F.col("predicted_type"), F.col("actual_type")))
-    first = hit.groupBy("prediction_id").agg(F.min(F.struct("actual_ts", "actual_id")).alias("f"))
+    that fulfils them; null ids where none does.
+
+    Which types match is worked out once over the distinct types; then every matching
+    type needs one forward as-of join, and no event is paired with all predictions.
+    """
+    kinds = events.select(F.col("event_type").alias("actual_type")).distinct()
+    match = made.select("predicted_type").distinct().join(F.broadcast(kinds), type_matches(F.col("predicted_type"), F.col("actual_type")))
+    asked = made.select("prediction_id", "predicted_type", "from_ts", "due_ts").join(F.broadcast(match), "predicted_type")
+    e = events.select(F.col("event_type").alias("actual_type"), F.col("ts").alias("actual_ts"), (-F.col("id")).alias("minus_id"))
+    hit = asof_join(asked, e, ["actual_type"], "from_ts", "actual_ts", ["minus_id"], tolerance=widest_days * 86400, forward=True)
+    hit = hit.filter(F.col("actual_ts_matched") <= F.col("due_ts"))
+    first = hit.groupBy("prediction_id").agg(F.min(F.struct(F.col("actual_ts_matched").alias("actual_ts"), (-F.col("minus_id")).alias("actual_id"))).alias("f"))
     return made.join(first, "prediction_id", "left").select(*made.columns, F.col("f.actual_id").alias("actual_event_id"), F.col("f.actual_ts").alias("fulfilled_at"))
 
 

@@ -38,16 +38,25 @@ def asof_join(
     the earliest at or after); null where none lies within `tolerance` seconds.
 
     Both sides are merged and one window carries the values over: a sort per key, no
-    pairs. Of right rows of one key and time the largest values count.
+    pairs. With a tolerance the windows go by (keys, cell of time) and right rows are
+    lent to the next cell, so a hot key is dealt over its cells. Of right rows of one
+    key and time the largest values count.
     """
     v = F.struct(F.col(right_ts).alias("t"), *[F.col(c).alias(c) for c in values])
     r = right.groupBy(*keys, right_ts).agg(F.max(v).alias("_v"))
-    r = r.select(*keys, F.col(right_ts).alias("_t"), F.lit(1 if forward else 0).alias("_side"), "_v", F.lit(None).alias("_row"))
-    row = F.struct(*[F.col(c) for c in left.columns])
-    lf = left.select(*keys, F.col(left_ts).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).alias("_v"), row.alias("_row"))
+    by = list(keys)
+    if tolerance is not None:
+        by.append("_cell")
+        cell = lambda t: F.floor(F.unix_micros(F.col(t).cast("timestamp")) / F.lit(max(tolerance, 1) * MICROS)).cast("long")
+        other = cell(right_ts) + (-1 if forward else 1)
+        r = r.withColumn("_cell", F.explode(F.array(cell(right_ts), other)))
+        left = left.withColumn("_cell", cell(left_ts))
+    r = r.select(*by, F.col(right_ts).alias("_t"), F.lit(1 if forward else 0).alias("_side"), "_v", F.lit(None).alias("_row"))
+    row = F.struct(*[F.col(c) for c in left.columns if c != "_cell"])
+    lf = left.select(*by, F.col(left_ts).alias("_t"), F.lit(0 if forward else 1).alias("_side"), F.lit(None).alias("_v"), row.alias("_row"))
     merged = r.unionByName(lf)
     order = [F.col("_t").desc(), F.col("_side").desc()] if forward else [F.col("_t"), F.col("_side")]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     got = merged.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_row is not null")
     if tolerance is not None:
         gap = F.abs(F.unix_micros(F.col("_v.t").cast("timestamp")) - F.unix_micros(F.col("_t").cast("timestamp")))
