@@ -288,18 +288,22 @@ def near_duplicates(
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
-def one_of_each(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42
-) -> DataFrame:
-    """The rows of docs, all columns, whose id is the smallest of its component.
+def keep_first(docs: DataFrame, near: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose id is the smallest of its component in near (id, component).
 
     Of rows with the same id and the same text one stays; they are looked for only
     if a kept id occurs twice.
     """
-    near = near_duplicates(docs, id_col, text_col, words, radius, seed)
     own = F.col(id_col).eqNullSafe(F.col("component"))
     ids = stored(near.groupBy(F.col(id_col).alias("_id")).agg(F.bool_or(own).alias("_kept"), F.count(F.lit(1)).alias("_rows")), "ids")
     out = without(docs, id_col, ids.filter("not _kept").select("_id"))
     if ids.filter("_kept and _rows > 1").limit(1).count():
         out = out.withColumn("_same", F.sha2(F.col(text_col).cast("binary"), 256)).dropDuplicates([id_col, "_same"]).drop("_same")
     return out
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42
+) -> DataFrame:
+    """keep_first() of the components of near_duplicates()."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, radius, seed), id_col, text_col)
