@@ -77,3 +77,20 @@ def test_nothing_to_learn(spark):
     m = ppm.learn(docs)
     assert [(r.lang_pred, r.score) for r in ppm.predict(docs, m).collect()] == [("und", 0.0)]
     assert ppm.predict(docs.limit(0), m).collect() == []
+
+
+def test_noise_and_languages_that_were_not_learned_go(spark):
+    rng = random.Random(4)
+    say = lambda words: " ".join(rng.choice(words.split()) for _ in range(80))
+    en = "the of and that with for this from was are which have not but they their would there about"
+    fr = "le la les des que dans pour sur une avec être où déjà très même sont nous vous mais"
+    good = [(i, say(en if i % 2 else fr), "en" if i % 2 else "fr") for i in range(200)]
+    bad = [(1000, say("kaikki ihmiset syntyvät vapaina tasavertaisina arvoltaan oikeuksiltaan heille annettu järki"), "en")]
+    bad += [(1001, say("все люди рождаются свободными равными своём достоинстве правах"), "fr")]
+    bad += [(1002, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)), "en")]
+    bad += [(1003, "".join(rng.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/") for _ in range(400)), "en")]
+    schema = "doc_id long, text string, lang string"
+    m = ppm.learn(spark.createDataFrame(good, schema))
+    assert sorted(m.limits) == ["en", "fr"]
+    kept = ppm.keep_identified(spark.createDataFrame([*good, *bad, (2000, "the have", "en")], schema), m)
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(200), 2000]

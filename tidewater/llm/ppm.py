@@ -12,6 +12,12 @@ Training takes, for each language, the `per_language` distinct texts of lowest
 XXH64 among the rows given to learn(); this is the documented bound of the
 classifier's sample. Every text is scored whole.
 
+keep_identified() also holds each text to what its language costs: half of a
+language's sample is coded by a model of the other half, and the limit is MARGIN
+times the bits a byte that a tenth of these left-out texts exceed. SLACK bits are
+free, so a short text with a number or a key isn't judged by that alone. A language
+of one text has no limit.
+
 Defined results: a null text and one without a letter are `und` with score 0; so
 is every text if no row could be learned from. Equal code lengths go to the
 smaller language name. Rows are kept in number; other columns aren't read.
@@ -20,7 +26,7 @@ smaller language name. Rows are kept in number; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +45,10 @@ PER_LANGUAGE = 300
 START = 256
 #: Languages that are learned at most, the most frequent; more distinct values aren't languages.
 LANGUAGES = 1000
+#: A text may cost so many times the bits a byte that a tenth of the left-out texts of its language exceed,
+MARGIN = 2.0
+#: and so many bits besides, whatever its length.
+SLACK = 320
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -51,6 +61,7 @@ class Model:
     state: np.ndarray  # contexts as numbers to the base of `base` -> state
     bits: np.ndarray  # [state * symbols + symbol, language]
     base: int
+    limits: dict[str, float] = field(default_factory=dict)  # language -> bits a byte
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, [text, language]."""
@@ -142,7 +153,7 @@ def _lengths(own: list, contexts: np.ndarray, order: int, base: int, symbols: in
 
 
 def learn(
-    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 42
+    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 42, calibrate: bool = True
 ) -> Model:
     """A model from rows with a text and a language.
 
@@ -162,19 +173,53 @@ def learn(
     for r in hashed.select("lang", "h").distinct().collect():
         lowest.setdefault(r.lang, []).append(r.h)
     last = {x: sorted(h)[:per_language][-1] for x, h in lowest.items()}
-    cut = F.create_map(*[F.lit(v) for x, h in last.items() for v in (x, h)])
-    sample = hashed.filter(F.col("h") <= cut[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
+    middle = {x: sorted(h)[:per_language][(min(len(h), per_language) - 1) // 2] for x, h in lowest.items()}
+    cut, half = (F.create_map(*[F.lit(v) for x, h in of.items() for v in (x, h)]) for of in (last, middle))
+    sample = hashed.filter(F.col("h") <= cut[F.col("lang")]).dropDuplicates(["lang", "h"])
+    sample = sample.select("lang", "text", (F.col("h") > half[F.col("lang")]).cast("int").alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
-            names, texts = part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist()
+            names = list(zip(part.column("lang").to_pylist(), part.column("fold").to_pylist(), strict=True))
+            texts = part.column("text").cast(pa.binary()).to_pylist()
             for x in sorted(set(names)):
                 key, many = _grams([t for t, name in zip(texts, names, strict=True) if name == x])
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(many, pa.int64())], ["lang", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0]] * len(key), pa.string()), pa.array([x[1]] * len(key), pa.int32()), pa.array(key, pa.int64()), pa.array(many, pa.int64())], ["lang", "fold", "key", "n"])
+
+    grams = map_arrow(sample, run, "lang string, fold int, key long, n long").groupBy("lang", "fold", "key").agg(F.sum("n").alias("n")).toArrow()
+    lang, fold, key, n = (grams.column(c).to_numpy() for c in ("lang", "fold", "key", "n"))
+
+    def model(rows: np.ndarray) -> Model:
+        """Of these rows of the counts; the folds' counts of a context add up."""
+        of = {}
+        for x in set(lang[rows].tolist()):
+            own = rows & (lang == x)
+            keys, at = np.unique(key[own], return_inverse=True)
+            of[str(x)] = (keys, np.bincount(at, weights=n[own]).astype(np.int64))
+        return build(of)
+
+    whole = model(np.ones(len(lang), bool))
+    if calibrate:
+        whole.limits = _limits(sample, [model(fold != k) for k in (0, 1)])
+    return whole
+
+
+def _limits(sample: DataFrame, without: list[Model]) -> dict[str, float]:
+    """Bits a byte that a text of each language may cost, from models that left a fold out."""
+    shared = sample.sparkSession.sparkContext.broadcast(without)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_chunks(batches, "text"):
+            names, folds = part.column("lang").to_pylist(), part.column("fold").to_pylist()
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            bits = [m.lengths(texts) for m in shared.value]
+            out = [(x, bits[k][i, shared.value[k].languages.index(x)] / len(t)) for i, (x, k, t) in enumerate(zip(names, folds, texts, strict=True)) if t and x in shared.value[k].languages]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([v for _, v in out], pa.float64())], ["lang", "bits"])
 
-    grams = map_arrow(sample, run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    lang, key, n = (grams.column(c).to_numpy() for c in ("lang", "key", "n"))
-    return build({str(x): (key[lang == x], n[lang == x]) for x in set(lang.tolist())})
+    cost: dict[str, list[float]] = {}
+    for r in map_arrow(sample, run, "lang string, bits double").collect():
+        cost.setdefault(r.lang, []).append(r.bits)
+    return {x: MARGIN * float(np.quantile(v, 0.9)) for x, v in cost.items()}
 
 
 def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -208,13 +253,17 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, that have a language with a score of `least` or more."""
+    """The rows of docs, all columns, that have a language with a score of `least` or more
+    and cost no more bits than its limit allows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, text_col):
-            lang, score, _ = _judge(shared.value, part.column(text_col).to_pylist())
-            yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+            texts = part.column(text_col).to_pylist()
+            lang, score, per_byte = _judge(shared.value, texts)
+            size = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts])
+            spare = size * np.array([shared.value.limits.get(x, np.inf) for x in lang]) + SLACK if len(texts) else size
+            yield part.filter(pa.array([x != "und" and s >= least and fits for x, s, fits in zip(lang, score, per_byte * size <= spare, strict=True)], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
 

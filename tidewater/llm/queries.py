@@ -239,7 +239,7 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = ppm.learn(docs.filter(~ppm.held_out("doc_id")))
+    model = ppm.learn(docs.filter(~ppm.held_out("doc_id")), calibrate=False)
     return ppm.predict(docs, model).select("doc_id", ppm.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
