@@ -94,3 +94,25 @@ def test_noise_and_languages_that_were_not_learned_go(spark):
     assert sorted(m.limits) == ["en", "fr"]
     kept = ppm.keep_identified(spark.createDataFrame([*good, *bad, (2000, "the have", "en")], schema), m)
     assert sorted(r.doc_id for r in kept.collect()) == [*range(200), 2000]
+
+
+def sample_of(monkeypatch, docs, per_language):
+    """Languages and numbers of texts that learn() takes its counts from."""
+    seen = []
+    build = ppm.build
+    monkeypatch.setattr(ppm, "build", lambda counts: seen.append({x: int(n[key >> 9 & (1 << 27) - 1 == (ppm.START << 18 | ppm.START << 9 | ppm.START)].sum()) for x, (key, n) in counts.items()}) or build(counts))
+    ppm.learn(docs, per_language=per_language, calibrate=False)
+    return seen[-1]
+
+
+def test_sample_holds_its_distinct_texts_among_copies(spark, monkeypatch):
+    rows = [(f"texte numéro {i % 40}", "fr") for i in range(8000)] + [(f"text number {i % 3}", "en") for i in range(4000)]
+    rows += [(f"wort nummer {i}", "de") for i in range(2000)] + [("solo", "it")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert sample_of(monkeypatch, docs, 20) == {"de": 20, "en": 3, "fr": 20, "it": 1}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"t{i}", f"l{i:04}") for i in range(1100)], "text string, lang string")
+    monkeypatch.setattr(ppm, "_lengths", lambda own, contexts, order, base, symbols: np.zeros((len(contexts), symbols)))
+    assert len(sample_of(monkeypatch, docs, 2)) == 1100

@@ -43,8 +43,6 @@ ORDER = 3
 PER_LANGUAGE = 300
 #: A context position before the start of a text.
 START = 256
-#: Languages that are learned at most, the most frequent; more distinct values aren't languages.
-LANGUAGES = 1000
 #: A text may cost so many times the bits a byte that a tenth of the left-out texts of its language exceed,
 MARGIN = 2.0
 #: and so many bits besides, whatever its length.
@@ -152,31 +150,44 @@ def _lengths(own: list, contexts: np.ndarray, order: int, base: int, symbols: in
     return np.where(excluded, cost, (spent + np.log2(left))[:, None])
 
 
+def _up_to(rows: DataFrame, last: dict[str, int], middle: dict[str, int] | None = None) -> DataFrame:
+    """rows of the languages of `last` whose hash is at most its value, with `middle`'s."""
+    table = rows.sparkSession.createDataFrame([(x, h, (middle or last)[x]) for x, h in last.items()], "lang string, last long, middle long")
+    return rows.join(F.broadcast(table), "lang").filter(F.col("h") <= F.col("last")).drop("last")
+
+
 def learn(
     rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 42, calibrate: bool = True
 ) -> Model:
     """A model from rows with a text and a language.
 
-    Two passes: the languages' row counts give each a hash range that holds a few
-    times `per_language` texts; of these the lowest hashes are learned from. What
-    reaches the driver are hashes and counts of that bounded sample.
+    The languages' counts of distinct texts give each a hash range that holds a few
+    times `per_language` of them; a range that turns out to hold too few is widened
+    until it has enough or is the whole. Of these the lowest hashes are learned from.
+    What reaches the driver are hashes and counts of that bounded sample.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    sizes = {r.lang: r.n for r in counts.collect()}
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not sizes:
         return build({})
     top = 1 << 63
-    limit = F.create_map(*[F.lit(v) for x, n in sizes.items() for v in (x, int(min(top - 1, -top + 2 * top * min(1.0, 4 * per_language / n))))])
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "text")).filter(F.col("h") <= limit[F.col("lang")])
+    share = {x: 4 * per_language / max(n, 1) for x, n in sizes.items()}
     lowest: dict[str, list[int]] = {}
-    for r in hashed.select("lang", "h").distinct().collect():
-        lowest.setdefault(r.lang, []).append(r.h)
+    todo = set(sizes)
+    while todo:
+        ends = {x: int(min(top - 1, -top + 2 * top * min(1.0, share[x]))) for x in todo}
+        found = {x: [] for x in todo}
+        for r in _up_to(rows, ends).select("lang", "h").distinct().collect():
+            found[r.lang].append(r.h)
+        lowest |= found
+        todo = {x for x in todo if len(found[x]) < per_language and share[x] < 1}
+        for x in todo:
+            share[x] *= 8
     last = {x: sorted(h)[:per_language][-1] for x, h in lowest.items()}
     middle = {x: sorted(h)[:per_language][(min(len(h), per_language) - 1) // 2] for x, h in lowest.items()}
-    cut, half = (F.create_map(*[F.lit(v) for x, h in of.items() for v in (x, h)]) for of in (last, middle))
-    sample = hashed.filter(F.col("h") <= cut[F.col("lang")]).dropDuplicates(["lang", "h"])
-    sample = sample.select("lang", "text", (F.col("h") > half[F.col("lang")]).cast("int").alias("fold"))
+    sample = _up_to(rows, last, middle).dropDuplicates(["lang", "h"])
+    sample = sample.select("lang", "text", (F.col("h") > F.col("middle")).cast("int").alias("fold"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
