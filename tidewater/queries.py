@@ -363,9 +363,9 @@ def ticker_tokens(v):
 
 @query(r"""
 SELECT o_orderkey AS id, round(round(o_totalprice, 2) * 1e6, 0) AS amount, 'USD' AS currency, round(o_totalprice / 1000, 1) AS percent, o_orderkey % 2 = 0 AS down
-FROM orders WHERE o_orderkey < 500""")
+FROM orders""")
 def money_extract(v):
-    o = v.table("orders").filter("o_orderkey < 500").select(
+    o = v.table("orders").select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("paid "), F.format_string("%.2f", F.round("o_totalprice", 2)), F.lit(" million USD, change "), F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise("+"), F.format_string("%.1f", F.round(F.col("o_totalprice") / 1000, 1)), F.lit("% YoY")).alias("x")
     )
     m, p = F.get(T.money(F.col("x")), F.lit(0)), F.get(T.percents(F.col("x")), F.lit(0))
@@ -454,29 +454,29 @@ def last_price(v):
 CORR_SQL = """
 SELECT a.secid AS a, b.secid AS b, count(*) AS n, round(CASE WHEN isnan(corr(a.close, b.close)) OR corr(a.close, b.close) IS NULL THEN 0 ELSE corr(a.close, b.close) END, 6) AS rho,
        round(least(count(*) / 252, 1.0), 6) AS confidence
-FROM v_prices a JOIN v_prices b ON a.day = b.day AND a.secid < b.secid WHERE a.secid <= 100 AND b.secid <= 100 GROUP BY ALL HAVING count(*) >= 10"""
+FROM v_prices a JOIN v_prices b ON a.day = b.day AND a.secid < b.secid GROUP BY ALL HAVING count(*) >= 10"""
 
 
 @query(CORR_SQL)
 def pair_correlation(v):
-    return market.correlations(v.prices().filter("secid <= 100"))
+    return market.correlations(v.prices())
 
 
 @query(f"""
 WITH p AS ({CORR_SQL}) SELECT x.sector, count(*) AS pairs, round(avg(abs(rho)) + 1e-9, 6) AS mean_rho
 FROM p JOIN v_companies x ON x.secid = p.a JOIN v_companies y ON y.secid = p.b AND x.sector = y.sector GROUP BY x.sector""")
 def sector_correlation(v):
-    return market.group_correlation(market.correlations(v.prices().filter("secid <= 100")), v.companies(), "secid", "sector")
+    return market.group_correlation(market.correlations(v.prices()), v.companies(), "secid", "sector")
 
 
 @query("""
-WITH e AS (SELECT o_orderkey AS id, o_custkey % 10 AS secid, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 0),
+WITH e AS (SELECT o_orderkey AS id, o_custkey % 10 AS secid, CAST(o_orderdate AS DATE) AS d FROM orders),
 w AS (SELECT * FROM e, (VALUES ('1d', 1, 1), ('5d', 5, 5)) x(w, ahead, back)),
 b AS (SELECT w.id, w.w, max_by(p.close, p.day) AS before FROM w JOIN v_prices p ON p.secid = w.secid AND p.day <= w.d AND p.day >= w.d - CAST(w.back AS INTEGER) GROUP BY w.id, w.w),
 a AS (SELECT w.id, w.w, max_by(p.close, p.day) AS after FROM w JOIN v_prices p ON p.secid = w.secid AND p.day >= w.d AND p.day <= w.d + CAST(w.ahead AS INTEGER) GROUP BY w.id, w.w)
 SELECT w.id, w.secid, w.w AS "window", before, after, round(CASE WHEN before > 0 THEN (after - before) / before END, 6) AS change FROM w LEFT JOIN b USING (id, w) LEFT JOIN a USING (id, w)""")
 def price_asof_impact(v):
-    o = v.table("orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("secid"), F.to_date("o_orderdate").cast("timestamp").alias("ts"))
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("secid"), F.to_date("o_orderdate").cast("timestamp").alias("ts"))
     p = v.prices().withColumn("ts", F.col("day").cast("timestamp"))
     return market.price_impact(o, p, {"1d": (86400, 86400), "5d": (432000, 432000)}).select("id", "secid", "window", "before", "after", F.round("change", 6).alias("change"))
 
@@ -486,14 +486,14 @@ WITH r AS (SELECT secid, day, volume, CASE WHEN p > 0 THEN (close - p) / p END A
 s AS (
   SELECT secid, day, ret, count(ret) OVER b AS n, avg(ret) OVER b AS mean, stddev_samp(ret) OVER b AS sigma, lag(ret) OVER w AS r0, lead(ret) OVER w AS r2, volume / nullif(avg(volume) OVER b, 0) AS spike
   FROM r WINDOW w AS (PARTITION BY secid ORDER BY day), b AS (PARTITION BY secid ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)),
-e AS (SELECT o_orderkey AS id, o_custkey % 10 AS secid, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 0),
+e AS (SELECT o_orderkey AS id, o_custkey % 10 AS secid, CAST(o_orderdate AS DATE) AS d FROM orders),
 h AS (SELECT e.id, e.secid, min(s.day) AS day FROM e JOIN s ON s.secid = e.secid AND s.day >= e.d GROUP BY ALL),
 x AS (SELECT h.id, h.secid, s.day, s.n, s.ret - s.mean AS ar, s.sigma, coalesce(r0 - mean, 0) + (ret - mean) + coalesce(r2 - mean, 0) AS car, spike FROM h JOIN s ON s.secid = h.secid AND s.day = h.day WHERE s.n >= 10)
 SELECT id, secid, CAST(day AS VARCHAR) AS trading_day, n, round(ar, 6) AS ar, round(car, 6) AS car, coalesce(abs(ar) > 2 * sigma OR coalesce(spike, 0) > 2, false) AS significant,
        round(CASE WHEN abs(ar) > 2 * sigma OR coalesce(spike, 0) > 2 THEN coalesce(1 / (1 + exp(2 - abs(ar) / nullif(sigma, 0))), 0) ELSE 0 END, 6) AS confidence,
        round(least(abs(ar) / (sigma + 1e-6), 1), 6) AS score FROM x""")
 def event_study(v):
-    o = v.table("orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("secid"), F.to_date("o_orderdate").alias("day"))
+    o = v.table("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("secid"), F.to_date("o_orderdate").alias("day"))
     s = market.event_study(o, v.prices())
     return s.select("id", "secid", F.col("trading_day").cast("string").alias("trading_day"), "n", *[F.round(c, 6).alias(c) for c in ("ar", "car", "confidence", "score")], "significant")
 
@@ -1053,12 +1053,12 @@ def company_profile(v):
 
 @query("""
 SELECT DISTINCT n.id, u.user FROM (SELECT id, source AS subject FROM v_news UNION ALL SELECT news_id, ticker FROM v_events) n
-JOIN (SELECT c_custkey AS user, 'src' || (c_custkey % 20) AS subject FROM customer WHERE c_custkey < 40 UNION ALL SELECT c_custkey, 'T' || (c_custkey % 7) FROM customer WHERE c_custkey < 10) u USING (subject)""")
+JOIN (SELECT c_custkey AS user, 'src' || (c_custkey % 20) AS subject FROM customer UNION ALL SELECT c_custkey, 'T' || (c_custkey % 7) FROM customer) u USING (subject)""")
 def notified_users(v):
     links = v.news().select("id", F.col("source").alias("subject")).unionByName(v.events().select(F.col("news_id").alias("id"), F.col("ticker").alias("subject")))
     c = v.table("customer").select(F.col("c_custkey").alias("user"))
     one = lambda head, n: F.concat(F.lit(head), (F.col("user") % n).cast("string")).alias("subject")
-    subs = c.filter("user < 40").select("user", one("src", 20)).unionByName(c.filter("user < 10").select("user", one("T", 7)))
+    subs = c.select("user", one("src", 20)).unionByName(c.select("user", one("T", 7)))
     return ingest.recipients(links, subs)
 
 
