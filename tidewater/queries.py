@@ -582,34 +582,26 @@ def retro_links(v):
     return ceg.retroactive(e.filter("value >= 150"), e, ["ticker"]).select("cause_id", "effect_id", "rank")
 
 
-NEAREST_SQL = PAIRS_SQL + ", near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cause_id ORDER BY effect_us DESC, effect_id DESC) AS r FROM pairs) WHERE r = 1)"
-
-
-def _last_pairs(v):
-    """For each cause its last effect within the lag."""
-    return A.top_per_key(ceg.causal_pairs(v.events(), ["ticker"]), ["cause_id"], [F.col("effect_ts").desc(), F.col("effect_id").desc()], 1).drop("rank")
-
-
-@query("WITH " + NEAREST_SQL + """
+@query("WITH " + PAIRS_SQL + """
 SELECT cause_id, effect_id, evidence_id, rank FROM (
   SELECT cause_id, effect_id, e.id AS evidence_id, CAST(row_number() OVER (PARTITION BY cause_id, effect_id ORDER BY e.us, e.id) AS INTEGER) AS rank
-  FROM near n JOIN v_events e ON e.ticker = n.ticker AND e.us > n.cause_us AND e.us < n.effect_us AND e.id NOT IN (n.cause_id, n.effect_id)) WHERE rank <= 3""")
+  FROM pairs n JOIN v_events e ON e.ticker = n.ticker AND e.us > n.cause_us AND e.us < n.effect_us AND e.id NOT IN (n.cause_id, n.effect_id)) WHERE rank <= 3""")
 def evidence_top3(v):
-    return ceg.between(_last_pairs(v), v.events(), ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", "rank")
+    return ceg.between(ceg.causal_pairs(v.events(), ["ticker"]), v.events(), ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", "rank")
 
 
-@query("WITH " + NEAREST_SQL + """
+@query("WITH " + PAIRS_SQL + """
 , s AS (
   SELECT n.cause_id, n.effect_id, e.id AS evidence_id,
     0.3::DOUBLE * CASE WHEN e.us > n.cause_us AND e.us < n.effect_us THEN least(1.5::DOUBLE * exp(-power((e.us - n.cause_us) / (n.effect_us - n.cause_us)::DOUBLE - 0.5, 2) / 32), 1) ELSE 0 END
     + 0.25::DOUBLE * least((1 + (e.company = a.company)::INT + 1 + (e.company = b.company)::INT) / 2.0::DOUBLE, 1) + 0.1::DOUBLE * 0.5 + 0.05::DOUBLE * 0.5 AS score,
     CASE WHEN NOT (e.us > n.cause_us AND e.us < n.effect_us) THEN 'additional_context' WHEN e.event_type = 'regulatory' THEN 'regulatory_factor' ELSE 'causal_mediator' END AS kind
-  FROM near n JOIN v_events a ON a.id = n.cause_id JOIN v_events b ON b.id = n.effect_id
+  FROM pairs n JOIN v_events a ON a.id = n.cause_id JOIN v_events b ON b.id = n.effect_id
   JOIN v_events e ON e.ticker = n.ticker AND e.us >= n.cause_us - 7200000000 AND e.us <= n.effect_us + 7200000000 AND e.id NOT IN (n.cause_id, n.effect_id))
 SELECT cause_id, effect_id, evidence_id, round(score, 6) AS score, kind AS evidence_kind FROM (
   SELECT *, row_number() OVER (PARTITION BY cause_id, effect_id ORDER BY round(score, 9) DESC, evidence_id) AS r FROM s WHERE score > 0.3) WHERE r <= 5""")
 def evidence_scores(v):
-    return ceg.evidence(_last_pairs(v), v.events(), ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", F.round("score", 6).alias("score"), "evidence_kind")
+    return ceg.evidence(ceg.causal_pairs(v.events(), ["ticker"]), v.events(), ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", F.round("score", 6).alias("score"), "evidence_kind")
 
 
 @query("""
