@@ -68,3 +68,10 @@ def test_empty_and_native(spark, model):
     assert out.collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_training_paragraph_of_a_family_is_a_candidate(spark, model):
+    known = [p for f, p in licences.examples() if f != licences.UNKNOWN]
+    docs = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    none = [known[r.doc_id] for r in licences.scan(docs, model).filter("n_candidates = 0").collect()]
+    assert none == []

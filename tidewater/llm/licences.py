@@ -34,8 +34,13 @@ THRESHOLD = 0.5
 #: Least share of a paragraph's n-grams that are in a template of its family.
 OVERLAP = 0.6
 UNKNOWN = "unknown"
-#: Words without which a paragraph is no candidate.
-MARKERS = r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|creative commons|\bgpl|\bcc[ -]by|\bcc0|liab"
+#: Words, and runs of words of the licences themselves, without which a paragraph is no
+#: candidate. Every training paragraph of a family has one.
+MARKERS = (
+    r"(?i)licen[sc]|copyright|permission|warrant|redistribut|public domain|creative commons|\b[al]?gpl|\bgnu\b|\bmpl\b|mozilla public|\bapache\b|\bbsd\b|\bcc[ -]by|\bcc0|liab"
+    r"|free software foundation|software distributed under|law or agreed|use this file except|with or without|following (?:conditions|disclaimer)|endorse or promote|appropriate credit|provide a link to|remix, transform|must distribute your|associated a work with|should have received a"
+    r"|hereby granted|distribute this software|obtaining a copy|documentation files|without limitation the rights|merge, publish|substantial portions|software is provided|express or implied|source code form|can obtain one at|under the terms of the"
+)
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 #: Names of the licence families as notices use them.
