@@ -245,3 +245,19 @@ def test_aliases_recipients_profiles(spark):
     companies = spark.createDataFrame([(1, "a"), (2, "b")], "secid int, name string")
     shares = spark.createDataFrame([(1, 10)], "secid int, shares long")
     assert {r.name: r.cap for r in market.company_profile(companies, prices, shares).collect()} == {"a": 30.0, "b": None}
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tidewater.session import shared_folder
+
+    def session(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://a:7077", **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    local = session("local[2]")
+    assert shared_folder(local) == shared_folder(local)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://a:7077"))
+    assert graph._stored(spark.range(3)).count() == 3

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,16 +9,13 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.operators.analytics import top_per_key
+from tidewater.session import shared_folder
 
 
 def _stored(df: DataFrame) -> DataFrame:
     """df written under spark.checkpoint.dir and read back, to cut the lineage of iterations."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -33,6 +36,26 @@ def get_session(cores: int | None = None, app: str = "tidewater", **conf: str) -
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests, a laptop) gets a temporary folder,
+    removed at exit; on a cluster, where a folder of one machine would lose rows, this
+    is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    context = spark.sparkContext
+    own = getattr(context, "_tidewater_folder", None)
+    if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = context._tidewater_folder = tempfile.mkdtemp(prefix="tidewater-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: it is added to the
     session's Python files once, as a zip that the driver serves."""
