@@ -10,10 +10,15 @@ response; the last response of each earlier slice, one row a slice, is carried
 over. So a URL with a third of all captures is dealt over all slices, and captures
 at one moment are one point.
 
-Defined results: a null URL, or no earlier response, gives status no_response; of
-responses at one moment the largest record id counts; a null validator on either
-side isn't compared, and none that can be compared gives status unvalidated;
-repeated revisits are resolved one by one. Other columns aren't read.
+Header names are lower-cased on entry, as they don't depend on case; the values of
+names that then are equal are joined by ", " in the order of the names as written.
+
+Defined results: a null URL, or no earlier response, gives status no_response; a
+response without id is none; of responses at one moment the largest record id
+counts, and of rows that repeat it the one with the largest entity tag, date and
+headers; a null validator on either side isn't compared, and none that can be
+compared gives status unvalidated; repeated revisits are resolved one by one. Other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -68,8 +73,8 @@ def records_of(pages: DataFrame) -> DataFrame:
 
 
 def latest_earlier(points: DataFrame, slices: int = SLICES) -> DataFrame:
-    """(canon, ts, found) for points (canon, ts, rid), each (canon, ts) once: the rid
-    of the latest strictly earlier point that has one."""
+    """(canon, ts, found) for points (canon, ts, rid), each (canon, ts) once: the rid, of
+    any type, of the latest strictly earlier point that has one."""
     shares = [i / slices for i in range(1, slices)]
     cuts = points.agg(F.percentile_approx("ts", shares, 1000).alias("c")).first().c or []
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
@@ -87,6 +92,19 @@ def _opaque(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers by lower-cased name."""
+    names = F.transform(F.map_keys(headers), F.lower)
+    entries = F.array_sort(F.map_entries(headers))
+
+    def value(n: Column) -> Column:
+        own = F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == n), lambda e: e["value"])
+        return F.when(F.exists(own, lambda v: v.isNotNull()), F.array_join(own, ", "))
+
+    joined = F.map_from_entries(F.transform(F.array_distinct(names), lambda n: F.struct(n, value(n))))
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), joined).otherwise(F.transform_keys(headers, lambda k, v: F.lower(k)))
+
+
 def merged(response: Column, revisit: Column) -> Column:
     """The response's headers, updated by those of the revisit that may be."""
     fresh = F.map_filter(revisit, lambda k, v: ~k.isin(KEPT_HEADERS))
@@ -97,16 +115,19 @@ def merged(response: Column, revisit: Column) -> Column:
 def resolve(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """One row for each revisit of records (record_id, canon, ts, kind, etag, last_modified, headers):
     record_id, canon, ts, resolved_id, status, headers."""
+    records = records.select("record_id", "canon", "ts", "kind", "etag", "last_modified", lower_names(F.col("headers")).alias("headers"))
     known = records.filter(F.col("canon").isNotNull() & F.col("ts").isNotNull())
-    full = F.when(F.col("kind") == "response", F.col("record_id"))
-    points = stored(known.groupBy("canon", "ts").agg(F.max(full).alias("rid")), "points")
-    found = latest_earlier(points, slices).filter("found is not null")
-    revisits = records.filter("kind = 'revisit'").select("record_id", "canon", "ts", "etag", "last_modified", "headers")
-    placed = revisits.join(found, ["canon", "ts"], "left")
-    responses = records.filter("kind = 'response'").select(
-        F.col("record_id").alias("r_id"), F.col("etag").alias("r_etag"), F.col("last_modified").alias("r_modified"), F.col("headers").alias("r_headers")
-    ).dropDuplicates(["r_id"])
-    both = placed.join(responses, F.col("found") == F.col("r_id"), "left")
+    full = known.filter("kind = 'response' and record_id is not null")
+    at = F.when((F.col("kind") == "response") & F.col("record_id").isNotNull(), F.struct("ts", "record_id"))
+    points = stored(known.groupBy("canon", "ts").agg(F.max(at).alias("rid")), "points")
+    found = latest_earlier(points, slices).filter("found is not null").select("canon", "ts", "found.*", F.lit(True).alias("any")).toDF("canon", "ts", "r_ts", "r_id", "any")
+    placed = records.filter("kind = 'revisit'").drop("kind").join(found, ["canon", "ts"], "left")
+    # of repeated rows one is chosen by its values
+    values = F.max(F.struct(F.col("etag").alias("e"), F.col("last_modified").alias("m"), F.array_sort(F.map_entries("headers")).alias("h"))).alias("x")
+    responses = full.groupBy(F.col("canon").alias("r_canon"), F.col("ts").alias("at"), F.col("record_id").alias("rid")).agg(values).select(
+        "r_canon", "at", "rid", F.col("x.e").alias("r_etag"), F.col("x.m").alias("r_modified"), F.map_from_entries("x.h").alias("r_headers")
+    )
+    both = placed.join(responses, (F.col("canon") == F.col("r_canon")) & (F.col("r_ts") == F.col("at")) & (F.col("r_id") == F.col("rid")), "left")
     status = (
         F.when(F.col("r_id").isNull(), "no_response")
         .when(_opaque(F.col("etag")) != _opaque(F.col("r_etag")), "etag_mismatch")
