@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidewater.llm import blobs
 
@@ -50,6 +54,7 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert ledger.rows().count() == distinct
     newer = (*blobs.RULES[:2], blobs.Rule("hex", 2, lambda t: []), *blobs.RULES[3:])
     left = ledger.unseen(docs, newer).collect()
+    assert {r.text for r in left} == {t or "" for t in TEXTS}
     assert len(left) == distinct and all(r.rules == ["hex@2"] for r in left)
     before = ledger.on_paths(docs, ["doc_id"]).filter("exists(spans, s -> s.kind = 'hex')").count()
     ledger.update(docs, newer)
@@ -72,3 +77,30 @@ def test_empty(spark, tmp_path):
     ledger = blobs.Ledger(spark, str(tmp_path / "ledger"))
     ledger.update(docs)
     assert ledger.on_paths(docs, ["doc_id"]).collect() == []
+
+
+JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+
+
+def test_jwt_matches_its_pattern():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "eyJ", "abcdefgh", "x", ".", ".", "-_", " ", "é"]) for _ in range(rng.randrange(25)))
+        assert blobs._jwt(text) == [m.span() for m in JWT.finditer(text)]
+
+
+def test_long_texts_take_linear_time():
+    for text in ("eyJ" * 1_700_000, "eyJabcdefgh." * 400_000, "-----BEGIN " * 450_000, "password " * 500_000, "AKIA" * 1_200_000, "ghp_" * 1_200_000, "secret=" * 700_000):
+        began = time.perf_counter()
+        for rule in blobs.RULES:
+            rule.find(text)
+        assert time.perf_counter() - began < 5
+
+
+def test_a_blob_scanned_twice_has_each_span_once(spark, tmp_path):
+    docs, rows = docs_of(spark)
+    once, twice = blobs.Ledger(spark, str(tmp_path / "once")), blobs.Ledger(spark, str(tmp_path / "twice"))
+    once.update(docs)
+    once.rows().unionByName(once.rows()).write.parquet(twice.folder)
+    listed = lambda x: sorted((str(r.doc_id), r.s) for r in x.on_paths(docs, ["doc_id"]).select("doc_id", blobs.listed(F.col("spans")).alias("s")).collect())
+    assert listed(once) == listed(twice)

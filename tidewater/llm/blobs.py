@@ -5,7 +5,7 @@ UTF-8 bytes, so equal texts, wherever and whenever they occur, are one blob. The
 ledger has one row for each scan of a blob: the rule versions that were run and
 the spans they found. update() scans only (blob, rule version) pairs that no row
 has, appends one row for each blob it scanned, and on_paths() joins the spans back
-to every path. A row appears together with its spans or not at all, so a job that
+to every path. Texts whose blob was scanned before aren't moved again. A row appears together with its spans or not at all, so a job that
 dies leaves no pair marked as scanned without its findings.
 
 Defined results: a null text is the empty text; paths may be null or repeated,
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bit_map, map_arrow, probe, shared_dir, stored, text_chunks
+from tidewater.llm.common import bit_map, map_arrow, probe, stored, text_chunks
+from tidewater.session import shared_folder
 
 SPANS = "array<struct<start:int,rank:int,kind:string,stop:int>>"
 LEDGER = f"blob binary, rules array<string>, spans {SPANS}"
@@ -49,7 +50,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")
+_RUN = re.compile(r"[A-Za-z0-9_-]*")
 _FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 
 
@@ -69,6 +70,26 @@ def _hex(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _HEX.finditer(text)]
 
 
+def _jwt(text: str) -> list[tuple[int, int]]:
+    """eyJ and 8 or more characters of a run, a dot, a run of 8 or more, a dot and a run.
+
+    The last character before a dot ends its run, so only the first eyJ of a run can
+    start a match: every run is walked over a bounded number of times.
+    """
+    out, at = [], text.find("eyJ")
+    while at >= 0:
+        end = _RUN.match(text, at).end()
+        if end - at >= 11 and text[end : end + 1] == ".":
+            second = _RUN.match(text, end + 1).end()
+            if second - end > 8 and text[second : second + 1] == ".":
+                third = _RUN.match(text, second + 1).end()
+                if third > second + 1:
+                    out.append((at, third))
+                    end = third
+        at = text.find("eyJ", end)
+    return out
+
+
 def _containing(hint: str, pattern: re.Pattern) -> Callable[[str], list[tuple[int, int]]]:
     return lambda text: [m.span() for m in pattern.finditer(text)] if hint in text else []
 
@@ -78,7 +99,7 @@ BASE_RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex"
 RULES = (
     *BASE_RULES,
     Rule("pem", 1, _containing("-----BEGIN ", _PEM)),
-    Rule("jwt", 1, _containing("eyJ", _JWT)),
+    Rule("jwt", 1, _jwt),
     Rule("forge", 1, _containing("gh", _FORGE)),
 )
 
@@ -93,27 +114,38 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = folder or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.folder = folder or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
 
-    def rows(self) -> DataFrame:
+    def exists(self) -> bool:
+        """Whether any scan was made; one that died before its end left no row."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.exists(path) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(path))
+
+    def rows(self) -> DataFrame:
+        if not self.exists():
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(self.folder)
 
     def unseen(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
         """(blob, text, rules): each blob of versions that lacks a scan by some rule version.
 
-        Equal texts meet in the map-side part of dropDuplicates, so a blob with
-        any number of paths sends one row from each map task.
+        What is unseen is found by content addresses alone. Then only texts that a bit
+        map of the unseen addresses can't clear are moved, so a version that brings
+        little news moves little text. Equal texts meet in the map-side part of the
+        aggregation, so a blob with any number of paths sends one row from each map task.
         """
-        blobs = versions.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        blobs = blobs.dropDuplicates(["blob"])
+        address = blob_of(F.col(text_col)).alias("blob")
         wanted = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
-        seen = self.rows().select(F.col("blob").alias("known"), F.explode("rules").alias("rule"))
-        seen = seen.groupBy("known").agg(F.collect_set("rule").alias("done"))
-        left = F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>")))
-        return blobs.join(seen, F.col("blob") == F.col("known"), "left").select("blob", "text", left.alias("rules")).filter(F.size("rules") > 0)
+        blobs = versions.select(address, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        if not self.exists():
+            return blobs.dropDuplicates(["blob"]).withColumn("rules", wanted)
+        done = self.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
+        todo = versions.select(address).distinct().join(done, "blob", "left")
+        todo = todo.select(F.col("blob").alias("new"), F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))).alias("rules"))
+        todo = stored(todo.filter(F.size("rules") > 0), "unseen")
+        maybe = probe(blobs, "blob", bit_map(todo, "new")).filter("_may").drop("_may").dropDuplicates(["blob"])
+        return maybe.join(todo, F.col("blob") == F.col("new")).select("blob", "text", "rules")
 
     def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
         """Scan what hasn't been scanned and append it."""
@@ -139,7 +171,9 @@ class Ledger:
         map_arrow(self.unseen(versions, rules, text_col), run, LEDGER).write.mode("append").parquet(self.folder)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """(found, spans): each blob's spans of these rule versions, by start, then rule."""
+        """(found, spans): each blob's spans of these rule versions, by start, then rule.
+
+        A blob that was scanned twice, by two appends at one time, has each span once."""
         now = {r.key: rank for rank, r in enumerate(rules)}
         kinds = F.create_map(*[F.lit(v) for key, rank in now.items() for v in (key.rpartition("@")[0], rank)])
         wanted = F.array(*[F.lit(k) for k in now])
@@ -148,7 +182,7 @@ class Ledger:
         own = F.filter("spans", lambda s: F.array_contains(names, s["kind"]))
         own = F.transform(own, lambda s: F.struct(s["start"].alias("start"), kinds[s["kind"]].alias("rank"), s["kind"].alias("kind"), s["stop"].alias("stop")))
         return current.select(F.col("blob").alias("found"), own.alias("spans")).groupBy("found").agg(
-            F.array_sort(F.flatten(F.collect_list("spans"))).cast(SPANS).alias("spans")
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).cast(SPANS).alias("spans")
         )
 
     def on_paths(self, versions: DataFrame, paths: list[str], rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.session import ship_package
+from tidewater.session import shared_folder, ship_package
 
 #: 64-bit words of a bit map of keys: a fixed size, so broadcasting the map is bounded.
 MAP_WORDS = 1 << 17
@@ -19,18 +18,6 @@ MAP_WORDS = 1 << 17
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where that is unset (tests, a laptop) a temporary folder is made.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df once under the shared folder and read it back.
 
@@ -38,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the steps before the written table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
