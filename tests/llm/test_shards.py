@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,9 +46,48 @@ def test_group_above_a_shard(spark, n):
     assert sum(k for _, k in hot.most_common(3)) >= min(120, 2 * (len(rows) // n))
 
 
-def test_all_linked(spark):
-    rows = [(i, f"c{i // 2}") for i in range(101)]
-    check(rows, shards.assign(frame(spark, rows), 7).collect(), 7)
+@pytest.mark.parametrize("by_hub", [True, False])
+def test_all_linked(spark, by_hub):
+    """No row is unlinked, so no shard ever has room: only exchanges move rows."""
+    rows = [(i, f"c{i // 2}") for i in range(2400)]
+    log = []
+    got = shards.assign(frame(spark, rows), 24, log=log, by_hub=by_hub).collect()
+    check(rows, got, 24)
+    where = defaultdict(set)
+    for r in got:
+        where[r.doc_id // 2].add(r.shard)
+    cut = sum(len(s) > 1 for s in where.values())
+    assert cut == log[-1] < 60
+    assert by_hub or log[0] > 1000
+
+
+def test_hot_group_and_copies_all_linked(spark):
+    rows = [(i, "hot") for i in range(800)] + [(1000 + i, f"c{i // 20}") for i in range(1600)]
+    got = shards.assign(frame(spark, rows), 24).collect()
+    check(rows, got, 24)
+    hot = Counter(r.shard for r in got if r.doc_id < 1000)
+    where = defaultdict(Counter)
+    for r in got:
+        if r.doc_id >= 1000:
+            where[r.doc_id // 20][r.shard] += 1
+    assert len(hot) <= 10
+    assert sum(len(c) > 1 for c in where.values()) <= 20
+
+
+def test_exchange_keeps_sizes():
+    rng = random.Random(3)
+    for _ in range(300):
+        n = rng.randrange(1, 7)
+        asked = {(a, b): rng.randrange(9) for a in range(n) for b in range(n) if rng.random() < 0.5}
+        free = [rng.choice([0, 0, 3]) for _ in range(n)]
+        got = shards.exchange(asked, free)
+        assert all(0 < k <= asked[e] and e[0] != e[1] for e, k in got.items())
+        for s in range(n):
+            assert sum(k for (_, b), k in got.items() if b == s) - sum(k for (a, _), k in got.items() if a == s) <= free[s]
+        left = {e: k - got.get(e, 0) for e, k in asked.items() if e[0] != e[1] and k > got.get(e, 0)}
+        assert not any((b, a) in left for a, b in left)
+    assert shards.exchange({(0, 1): 5, (1, 2): 3, (2, 0): 4}, [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert shards.exchange({(0, 1): 5, (1, 2): 3}, [0, 0, 2]) == {(1, 2): 2, (0, 1): 2}
 
 
 def test_propagation_over_several_hubs(spark):
@@ -57,6 +97,12 @@ def test_propagation_over_several_hubs(spark):
     assert len(labels) == 40 and max(counts.values()) <= 20
     parts = {h: len({r.shard for r in labels if r.node // 10 == h}) for h in range(4)}
     assert sum(parts.values()) <= 8
+    # hubs that cross: rows and columns of a square; both kinds of link count
+    links = [(i, h) for i in range(64) for h in (i // 8, 100 + i % 8)]
+    for by_hub in (True, False):
+        log = []
+        labels = shards.propagate(spark.createDataFrame(links, "node long, hub long"), [16] * 4, log, by_hub).collect()
+        assert len(labels) == 64 and max(Counter(r.shard for r in labels).values()) <= 16 and log[-1] <= log[0]
 
 
 @pytest.mark.parametrize("rows", [[], [(1, "a")], [(1, "a"), (2, "a")]])
