@@ -44,9 +44,9 @@ def model():
 def test_code_lengths_are_exact():
     rng = random.Random(2)
     texts = [*EN, *FR, "a", "zzz", "Ünïcode ☃", "".join(rng.choice("abcdefgh tzé☃") for _ in range(500))]
-    got = model().lengths([t.encode() for t in texts])
+    got = ppm.Coder(model()).lengths([t.encode() for t in texts])
     want = [[brute_bits(EN, t), brute_bits(FR, t)] for t in texts]
-    np.testing.assert_allclose(got, want, rtol=1e-5)
+    np.testing.assert_allclose(got, want, rtol=1e-9)
 
 
 def test_frame(spark):
@@ -69,7 +69,34 @@ def test_sample_bound(spark):
     docs = spark.createDataFrame([(i, f"text number {i}", "en") for i in range(500)], "doc_id long, text string, lang string")
     few = ppm.learn(docs, per_language=5)
     assert few.languages == ["en"]
-    assert len(few.state) and ppm.learn(docs, per_language=5).bits[0].tolist() == few.bits[0].tolist()
+    again = ppm.learn(docs, per_language=5)
+    assert all(a.follower.tolist() == b.follower.tolist() and a.saved.tolist() == b.saved.tolist() for a, b in zip(few.orders[0], again.orders[0], strict=True))
+    assert few.orders[0][0].context.tolist() == [0]
+
+
+def test_a_worker_forgets_and_codes_alike(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh tzé☃") for _ in range(rng.randrange(60))).encode() for _ in range(200)]
+    want = ppm.Coder(model()).lengths(texts)
+    monkeypatch.setattr(ppm, "MEMO", 100)
+    coder = ppm.Coder(model())
+    np.testing.assert_allclose(np.concatenate([coder.lengths(texts[i : i + 7]) for i in range(0, 200, 7)]), want)
+
+
+def test_long_texts_are_learned_from_only_without_others(spark):
+    docs = spark.createDataFrame([(EN[0] * 50, "en"), (EN[1], "en"), (FR[0] * 50, "fr"), (FR[1] * 50, "fr")], "text string, lang string")
+    m = ppm.learn(docs, text_bytes=100, calibrate=False)
+    assert m.languages == ["en", "fr"]
+    starts = lambda x: 2 ** m.orders[m.languages.index(x)][3].saved.max()
+    assert starts("en") < 5 and starts("fr") > 40
+
+
+def test_repeated_texts_hide_no_language(spark):
+    rows = [(EN[i % 3], "en") for i in range(20000)] + [(f"{FR[i % 3]} {i}", "fr") for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string").cache()
+    for seed in range(6):
+        assert ppm.learn(docs, seed=seed, calibrate=False).languages == ["en", "fr"]
+    docs.unpersist()
 
 
 def test_nothing_to_learn(spark):
@@ -114,5 +141,4 @@ def test_sample_holds_its_distinct_texts_among_copies(spark, monkeypatch):
 
 def test_every_language_is_learned(spark, monkeypatch):
     docs = spark.createDataFrame([(f"t{i}", f"l{i:04}") for i in range(1100)], "text string, lang string")
-    monkeypatch.setattr(ppm, "_lengths", lambda own, contexts, order, base, symbols: np.zeros((len(contexts), symbols)))
     assert len(sample_of(monkeypatch, docs, 2)) == 1100

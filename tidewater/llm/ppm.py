@@ -5,12 +5,13 @@ bytes with the counts of the bytes that followed. A byte that a context hasn't
 seen is coded by an escape to the next shorter context, with escape method C
 (d / (n + d) for d distinct bytes among n) and exclusion of the bytes that the
 longer contexts offer. After training the statistics are frozen, so the code
-length of a byte depends on its context alone: it is worked out once for each
-context and byte, and a text's score is an exact sum over its bytes.
+length of a byte depends on its context alone: it is worked out when a worker first
+meets a byte in a context, and a text's score is an exact sum over its bytes.
 
 Training takes, for each language, the `per_language` distinct texts of lowest
-XXH64 among the rows given to learn(); this is the documented bound of the
-classifier's sample. Every text is scored whole.
+XXH64 among the rows given to learn(), of those of at most `text_bytes` bytes; a
+language of longer texts only is learned from one of them. This is the documented
+bound of the classifier's sample. Every text is scored whole.
 
 keep_identified() also holds each text to what its language costs: half of a
 language's sample is coded by a model of the other half, and the limit is MARGIN
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,10 @@ from tidewater.llm.common import map_arrow, text_chunks
 ORDER = 3
 #: Texts that are learned from, for each language.
 PER_LANGUAGE = 300
+#: Longest text that is learned from, in bytes, if its language has others.
+TEXT_BYTES = 1 << 18
+#: Code lengths that a worker keeps, one for each gram and language.
+MEMO = 1 << 21
 #: A context position before the start of a text.
 START = 256
 #: A text may cost so many times the bits a byte that a tenth of the left-out texts of its language exceed,
@@ -50,104 +56,147 @@ SLACK = 320
 LETTER = regex.compile(r"\p{L}")
 
 
+@dataclass
+class Order:
+    """The contexts of one length in one language, as sorted numbers of 9 bits a symbol,
+    and the symbols that followed them. Costs are in bits."""
+
+    context: np.ndarray
+    top: np.ndarray  # of a symbol of count one after this context, the longest that was seen
+    escape: np.ndarray  # to the next shorter context from it
+    below: np.ndarray  # of a symbol of count one after the context without its first symbol, which escaped from this one
+    below_escape: np.ndarray  # and of an escape from that
+    follower: np.ndarray  # context << 9 | symbol
+    saved: np.ndarray  # log2 of the follower's count
+
+
 @dataclass
 class Model:
-    """Frozen code lengths: bits[state, language] for each symbol after each context."""
+    """Frozen statistics: a sparse context tree for each language. What it holds grows with
+    the distinct contexts of the sample, whatever the number of languages or bytes in use."""
 
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol; the last symbol stands for all unseen bytes
-    state: np.ndarray  # contexts as numbers to the base of `base` -> state
-    bits: np.ndarray  # [state * symbols + symbol, language]
-    base: int
+    orders: list[list[Order]]  # of each language, by length of context
     limits: dict[str, float] = field(default_factory=dict)  # language -> bits a byte
 
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last symbol of each gram (ORDER + 1 symbols), [gram, language]."""
+        symbol, context = grams & 511, grams >> 9
+        out = np.zeros((len(grams), len(self.languages)))
+        for x, own in enumerate(self.orders):
+            spent, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+            child = np.full(len(grams), -1)  # the context one longer, if it was seen
+            for k in range(ORDER, -1, -1):
+                o, suffix = own[k], context & ((1 << 9 * k) - 1)
+                at, seen = _find(o.context, suffix)
+                to, has = _find(o.follower, suffix << 9 | symbol)
+                under = child >= 0
+                longer = own[k + 1] if k < ORDER else o
+                cost = np.where(under, longer.below[child], o.top[at])
+                escape = np.where(under, longer.below_escape[child], o.escape[at])
+                hit = open_ & has
+                out[hit, x] = (spent + cost - o.saved[to])[hit]
+                open_ &= ~has
+                spent = np.where(open_ & seen, spent + escape, spent)
+                child = np.where(seen, at, -1)
+            left = max(256 - len(own[0].follower), 1)
+            out[open_, x] = spent[open_] + np.log2(left)
+        return out
+
+
+class Coder:
+    """Code lengths under a model, with the costs of grams met before: at most MEMO values,
+    after which it starts afresh."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.grams, self.bits = np.zeros(0, np.int64), np.zeros((0, len(self.model.languages)))
+
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, [text, language]."""
-        out = np.zeros((len(texts), len(self.languages)))
+        out = np.zeros((len(texts), len(self.model.languages)))
         size = np.array([len(t) for t in texts], np.int64)
         full = np.flatnonzero(size)
-        if not len(full) or not self.languages:
+        if not len(full) or not self.model.languages:
             return out
-        n = size[full]
-        place = np.arange(int(n.sum())) + ORDER * np.repeat(np.arange(1, len(full) + 1), n)
-        line = np.full(int(n.sum()) + ORDER * len(full), self.base - 1, np.int32)
-        line[place] = self.symbol[np.frombuffer(b"".join(texts), np.uint8)]
-        context = np.zeros(len(place), np.int32)
-        for back in range(ORDER, 0, -1):
-            context = context * self.base + line[place - back]
-        row = self.state[context].astype(np.int64) * (self.base - 1) + line[place]
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        for k in range(len(self.languages)):
-            out[full, k] = np.add.reduceat(self.bits[k][row], starts, dtype=np.float64)
+        line, distinct = pd.factorize(np.concatenate([_keys(texts[i]) for i in full]))
+        at, known = _find(self.grams, distinct)
+        if not known.all():
+            if self.bits.size + len(distinct) * len(self.model.languages) > MEMO:
+                self._forget()
+                known = np.zeros(len(distinct), bool)
+            new = np.sort(distinct[~known])
+            grams = np.concatenate([self.grams, new])
+            order = np.argsort(grams, kind="stable")
+            self.grams, self.bits = grams[order], np.concatenate([self.bits, self.model.costs(new)])[order]
+            at, _ = _find(self.grams, distinct)
+        starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+        place = at[line]
+        for x in range(len(self.model.languages)):
+            out[full, x] = np.add.reduceat(self.bits[:, x][place], starts)
         return out
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there; 0 for those that aren't."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    there = table[at] == keys
+    return np.where(there, at, 0), there
+
+
+def _keys(text: bytes) -> np.ndarray:
+    """The ORDER + 1 symbols that end at each byte, 9 bits a symbol."""
+    line = np.concatenate([np.full(ORDER, START, np.int64), np.frombuffer(text, np.uint8)])
+    key = np.zeros(len(text), np.int64)
+    for back in range(ORDER, -1, -1):
+        key = key << 9 | line[ORDER - back : len(line) - back]
+    return key
+
+
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the ORDER + 1 symbols that end at each byte, 9 bits a symbol."""
-    keys = []
-    for t in texts:
-        line = np.concatenate([np.full(ORDER, START, np.int64), np.frombuffer(t, np.uint8)])
-        key = np.zeros(len(t), np.int64)
-        for back in range(ORDER, -1, -1):
-            key = key << 9 | line[ORDER - back : len(line) - back]
-        keys.append(key)
-    return np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Counts of the keys of texts."""
+    return np.unique(np.concatenate([_keys(t) for t in texts]), return_counts=True) if texts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """The model of counts from _grams, by language."""
-    languages = sorted(counts)
-    bytes_seen = np.unique(np.concatenate([counts[x][0] & 511 for x in languages])) if languages else np.zeros(0, np.int64)
-    n = len(bytes_seen)
-    symbols, base = n + 1, n + 2  # symbols: seen bytes and one for the others; contexts also have the start
-    to = np.full(257, n, np.int64)
-    to[bytes_seen] = np.arange(n)
-    to[START] = base - 1
-    levels: list[list[tuple[np.ndarray, np.ndarray]]] = []  # for each language and order: contexts, counts
-    for x in languages:
-        key, many = counts[x]
-        part = [to[key >> 9 * back & 511] for back in range(ORDER, -1, -1)]
-        own = []
-        for order in range(ORDER + 1):
-            context = np.zeros(len(key), np.int64)
-            for p in part[ORDER - order : ORDER]:
-                context = context * base + p
-            seen, at = np.unique(context, return_inverse=True)
-            table = np.zeros((len(seen), symbols))
-            np.add.at(table, (at, part[ORDER]), many)
-            own.append((seen, table))
-        levels.append(own)
-    known = [np.unique(np.concatenate([own[k][0] for own in levels])) if levels else np.zeros(0, np.int64) for k in range(ORDER + 1)]
-    first = np.cumsum([0, *map(len, known)])
-    state = np.zeros(base**ORDER, np.int32)
-    for k in range(1, ORDER + 1):  # longer contexts overwrite shorter ones
-        grid = state.reshape(base ** (ORDER - k), base**k)
-        grid[:, known[k]] = (first[k] + np.arange(len(known[k])))[None, :]
-    bits = []
-    for own in levels:
-        rows = [_lengths(own, known[k][at : at + 4096], k, base, symbols) for k in range(ORDER + 1) for at in range(0, len(known[k]), 4096)]
-        bits.append(np.concatenate(rows).astype(np.float32).ravel())
-    return Model(languages, to[:256].astype(np.int32), state, bits, base)
-
-
-def _lengths(own: list, contexts: np.ndarray, order: int, base: int, symbols: int) -> np.ndarray:
-    """Code lengths of all symbols after these contexts of one order, for one language."""
-    cost = np.zeros((len(contexts), symbols))
-    spent = np.zeros(len(contexts))
-    excluded = np.zeros(cost.shape, bool)
-    for k in range(order, -1, -1):
-        seen, table = own[k]
-        suffix = contexts % base**k
-        at = np.minimum(np.searchsorted(seen, suffix), len(seen) - 1)
-        count = np.where((seen[at] == suffix)[:, None] & ~excluded, table[at], 0)
-        total, distinct = count.sum(axis=1), (count > 0).sum(axis=1)
-        offered = count > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cost = np.where(offered, spent[:, None] - np.log2(count / (total + distinct)[:, None]), cost)
-            spent = spent + np.where(total > 0, -np.log2(distinct / (total + distinct)), 0)
-        excluded |= offered
-    left = np.maximum(256 - excluded.sum(axis=1), 1)
-    return np.where(excluded, cost, (spent + np.log2(left))[:, None])
+    """The model of counts from _grams, by language; one without a byte is left out."""
+    languages = sorted(x for x in counts if len(counts[x][0]))
+    return Model(languages, [_orders(*counts[x]) for x in languages])
+
+
+def _orders(key: np.ndarray, many: np.ndarray) -> list[Order]:
+    """The context tree of one language.
+
+    What follows a context also follows its shorter ones, so the symbols that an escape
+    excludes are those of the context one longer, and what is left after it depends on
+    that context alone.
+    """
+    out: list[Order] = []
+    times_before: np.ndarray = np.zeros(0)
+    for k in range(ORDER + 1):
+        follower, at = np.unique(key & ((1 << 9 * (k + 1)) - 1), return_inverse=True)
+        times = np.bincount(at, weights=many)
+        context, of = np.unique(follower >> 9, return_inverse=True)
+        total, distinct = np.bincount(of, weights=times), np.bincount(of).astype(float)
+        top = np.log2(total + distinct)
+        below = below_escape = np.zeros(len(context))
+        if k:
+            last = out[-1]
+            shorter, _ = _find(last.follower, follower & ((1 << 9 * k) - 1))
+            excluded = np.bincount(of, weights=times_before[shorter])
+            parent, _ = _find(last.context, context & ((1 << 9 * (k - 1)) - 1))
+            left, kinds = total_before[parent] - excluded, distinct_before[parent] - distinct
+            some = kinds > 0
+            below = np.where(some, np.log2(np.maximum(left + kinds, 1)), 0)
+            below_escape = np.where(some, below - np.log2(np.maximum(kinds, 1)), 0)
+        out.append(Order(context, top, top - np.log2(distinct), below, below_escape, follower, np.log2(times)))
+        times_before, total_before, distinct_before = times, total, distinct
+    return out
 
 
 def _up_to(rows: DataFrame, last: dict[str, int], middle: dict[str, int] | None = None) -> DataFrame:
@@ -157,7 +206,7 @@ def _up_to(rows: DataFrame, last: dict[str, int], middle: dict[str, int] | None
 
 
 def learn(
-    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = 42, calibrate: bool = True
+    rows: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, text_bytes: int = TEXT_BYTES, seed: int = 42, calibrate: bool = True
 ) -> Model:
     """A model from rows with a text and a language.
 
@@ -167,12 +216,16 @@ def learn(
     What reaches the driver are hashes and counts of that bounded sample.
     """
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    if not sizes:
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "text")).withColumn("short", F.octet_length("text") <= text_bytes)
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("short"), F.col("h"))).alias("n"), F.approx_count_distinct("h").alias("all")).collect()
+    if not counts:
         return build({})
+    sizes = {r.lang: r.n or r.all for r in counts}
+    only_long = [r.lang for r in counts if not r.n]
+    rows = rows.filter(F.col("short") | F.col("lang").isin(only_long)).drop("short")
+    enough = {x: 1 if x in only_long else per_language for x in sizes}
     top = 1 << 63
-    share = {x: 4 * per_language / max(n, 1) for x, n in sizes.items()}
+    share = {x: 4 * enough[x] / max(n, 1) for x, n in sizes.items()}
     lowest: dict[str, list[int]] = {}
     todo = set(sizes)
     while todo:
@@ -181,11 +234,12 @@ def learn(
         for r in _up_to(rows, ends).select("lang", "h").distinct().collect():
             found[r.lang].append(r.h)
         lowest |= found
-        todo = {x for x in todo if len(found[x]) < per_language and share[x] < 1}
+        todo = {x for x in todo if len(found[x]) < enough[x] and share[x] < 1}
         for x in todo:
             share[x] *= 8
-    last = {x: sorted(h)[:per_language][-1] for x, h in lowest.items()}
-    middle = {x: sorted(h)[:per_language][(min(len(h), per_language) - 1) // 2] for x, h in lowest.items()}
+    lowest = {x: sorted(h)[: enough[x]] for x, h in lowest.items()}
+    last = {x: h[-1] for x, h in lowest.items()}
+    middle = {x: h[(len(h) - 1) // 2] for x, h in lowest.items()}
     sample = _up_to(rows, last, middle).dropDuplicates(["lang", "h"])
     sample = sample.select("lang", "text", (F.col("h") > F.col("middle")).cast("int").alias("fold"))
 
@@ -220,10 +274,11 @@ def _limits(sample: DataFrame, without: list[Model]) -> dict[str, float]:
     shared = sample.sparkSession.sparkContext.broadcast(without)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = [Coder(m) for m in shared.value]
         for part in text_chunks(batches, "text"):
             names, folds = part.column("lang").to_pylist(), part.column("fold").to_pylist()
             texts = part.column("text").cast(pa.binary()).to_pylist()
-            bits = [m.lengths(texts) for m in shared.value]
+            bits = [m.lengths(texts) for m in coders]
             out = [(x, bits[k][i, shared.value[k].languages.index(x)] / len(t)) for i, (x, k, t) in enumerate(zip(names, folds, texts, strict=True)) if t and x in shared.value[k].languages]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([v for _, v in out], pa.float64())], ["lang", "bits"])
 
@@ -233,10 +288,10 @@ def _limits(sample: DataFrame, without: list[Model]) -> dict[str, float]:
     return {x: MARGIN * float(np.quantile(v, 0.9)) for x, v in cost.items()}
 
 
-def _judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _judge(coder: Coder, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, posterior and bits a byte of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    length = model.lengths(raw)
+    model, length = coder.model, coder.lengths(raw)
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     best = length.argmin(axis=1)
@@ -255,8 +310,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(shared.value)
         for part in text_chunks(batches, "text"):
-            lang, score, per_byte = _judge(shared.value, part.column("text").to_pylist())
+            lang, score, per_byte = _judge(coder, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang, pa.string()), pa.array(score), pa.array(per_byte)], schema.names)
 
     out = map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
@@ -269,9 +325,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(shared.value)
         for part in text_chunks(batches, text_col):
             texts = part.column(text_col).to_pylist()
-            lang, score, per_byte = _judge(shared.value, texts)
+            lang, score, per_byte = _judge(coder, texts)
             size = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts])
             spare = size * np.array([shared.value.limits.get(x, np.inf) for x in lang]) + SLACK if len(texts) else size
             yield part.filter(pa.array([x != "und" and s >= least and fits for x, s, fits in zip(lang, score, per_byte * size <= spare, strict=True)], pa.bool_()))
