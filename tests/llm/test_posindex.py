@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -26,6 +27,20 @@ def brute(text, items):
     return len(w), len(hit), ",".join(sorted(found))
 
 
+def brute_near(docs, items):
+    """(places, items) where an item's three rarest words are near each other, for each document."""
+    df = Counter(w for _, t in docs for w in words(t))
+    lists = [(i, sorted({(df[w], w) for w in words(t) if df[w]})[:3]) for i, t in dict.fromkeys(items)]
+    out = []
+    for _, t in docs:
+        at = defaultdict(list)
+        for i, w in enumerate(words(t)):
+            at[w].append(i)
+        met = [(i, p) for i, rare in lists if rare for p in at[rare[0][1]] if all(any(abs(p - q) <= 20 for q in at[w]) for _, w in rare)]
+        out.append((len(met), sorted({str(i) for i, _ in met})))
+    return out
+
+
 def tables():
     rng = random.Random(4)
     vocab = ["the", "of", "and", *(f"w{i}" for i in range(40)), "é", "École", "日本"]
@@ -50,6 +65,9 @@ def test_matches_brute_force(spark, monkeypatch, limit):
     got = posindex.contamination(posindex.build(d, b)).collect()
     assert len(got) == len(docs)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"])) for r in got) == sorted((str(i), *brute(t, items)) for i, t in docs)
+    near = brute_near(docs, items)
+    assert any(n for n, _ in near)
+    assert sorted((str(r.doc_id), r.n_words, r.n_near, r.near_items) for r in got) == sorted((str(i), len(words(t)), *x) for (i, t), x in zip(docs, near, strict=True))
 
 
 def test_proximity(spark):
@@ -64,8 +82,10 @@ def test_without_contaminated(spark):
     docs, items = tables()
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    bad = {i for i, t in docs if brute(t, items)[1]}
-    assert {r.doc_id for r in posindex.without_contaminated(d, b).collect()} == {i for i, _ in docs} - bad
+    docs.append((304, "clean text under an id of others"))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    good = [(i, t) for i, t in docs if not brute(t, items)[1]]
+    assert sorted(map(str, posindex.without_contaminated(d, b).collect())) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in good)
 
 
 def test_empty(spark):

@@ -206,6 +206,8 @@ def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near",
+        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -232,11 +234,21 @@ hit_words AS (
   FROM (SELECT DISTINCT doc_id, unnest(range(k, k + size)) AS pos FROM hits) GROUP BY doc_id),
 found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
+df AS (SELECT term, count(*) AS df FROM places GROUP BY term),
+ranks AS (
+  SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS rank
+  FROM (SELECT DISTINCT item_id, unnest(w) AS term FROM item) JOIN df USING (term)),
+lists AS (SELECT doc_id, item_id, rank, pos, wanted FROM places JOIN ranks USING (term) JOIN (SELECT item_id, least(3, max(rank)) AS wanted FROM ranks GROUP BY item_id) USING (item_id) WHERE rank <= 3),
+met AS (
+  SELECT a.doc_id, a.item_id, a.pos FROM lists a JOIN lists b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND abs(b.pos - a.pos) <= 20
+  WHERE a.rank = 1 GROUP BY a.doc_id, a.item_id, a.pos, a.wanted HAVING count(DISTINCT b.rank) = a.wanted),
+near AS (SELECT doc_id, count(*) AS n_near, count(DISTINCT item_id) AS n_near_items FROM met GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id)
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
