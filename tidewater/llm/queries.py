@@ -76,7 +76,7 @@ def op4_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = cascade.order(cascade.RULES, cascade.profile(docs))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return cascade.run(docs, ordered, names).select("doc_id", *names, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+    return cascade.run(docs, ordered, names).select("doc_id", *names, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "rejected_by", "n_tried")
 
 
 OP4_SQL = r"""
@@ -86,7 +86,7 @@ WITH d AS (
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS l
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
-m AS (
+m AS MATERIALIZED (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ 	-
 ]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
@@ -98,12 +98,26 @@ tri AS (SELECT doc_id, i, w[i : i + 2] AS x FROM (SELECT doc_id, w, unnest(range
 twice AS (SELECT doc_id, x FROM tri GROUP BY doc_id, x HAVING count(*) > 1),
 covered AS (
   SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM tri JOIN twice USING (doc_id, x)) GROUP BY doc_id),
-a AS (SELECT m.*, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN covered USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 2 * n_capitals > n_letters OR 2 * n_bangs > n_words) AS kept
-FROM f
+a AS MATERIALIZED (SELECT m.*, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM m LEFT JOIN covered USING (doc_id)),
+f AS MATERIALIZED (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT < round(least(1.0::DOUBLE, 1000 / greatest((SELECT count(*) FROM a), 1)::DOUBLE) * 4294967296) AS drawn,
+         [CASE WHEN n_words < 50 THEN 'few_words' END, CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_words' END,
+          CASE WHEN 10 * n_symbols > n_words THEN 'symbols' END, CASE WHEN 2 * n_dup_lines > n_lines THEN 'repeated_lines' END,
+          CASE WHEN word_chars < 2 * n_words THEN 'short_words' END, CASE WHEN word_chars > 15 * n_words THEN 'long_words' END,
+          CASE WHEN 2 * n_capitals > n_letters THEN 'capitals' END, CASE WHEN 2 * n_bangs > n_words THEN 'bangs' END] AS by_
+  FROM a JOIN (SELECT doc_id AS d_id, strlen(t) AS n_bytes FROM d) ON d_id = doc_id),
+rules(name, per_byte, per_word, per_line) AS (
+  VALUES ('few_words', 0, 150, 0), ('repeated_words', 0, 770, 0), ('symbols', 4, 150, 0), ('repeated_lines', 0, 0, 1750),
+         ('short_words', 7, 150, 0), ('long_words', 7, 150, 0), ('capitals', 11, 0, 0), ('bangs', 2, 150, 0)),
+read AS (SELECT coalesce(sum(n_bytes), 0) AS b, coalesce(sum(n_words), 0) AS w, coalesce(sum(n_lines), 0) AS l FROM f WHERE drawn),
+places AS (
+  SELECT name, row_number() OVER (ORDER BY rejected / greatest(CAST(per_byte * b + per_word * w + per_line * l AS BIGINT), 1)::DOUBLE DESC, name) AS place
+  FROM (SELECT rules.*, read.*, (SELECT count(*) FROM f WHERE drawn AND list_contains(by_, name)) AS rejected FROM rules, read)),
+first AS (SELECT doc_id, min_by(name, place) AS rejected_by, min(place) AS n_tried FROM (SELECT doc_id, unnest(by_) AS name FROM f) JOIN places USING (name) GROUP BY doc_id)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       rejected_by IS NULL AS kept, rejected_by, CAST(coalesce(n_tried, 8) AS BIGINT) AS n_tried
+FROM f LEFT JOIN first USING (doc_id)
 """
 
 
