@@ -1,11 +1,17 @@
 """Licence scans: a trained paragraph classifier and template comparison.
 
-A paragraph is a line of a text. Paragraphs with a marker word are turned into word
-unigrams and bigrams; a multinomial logistic regression with sparse weights gives
-each licence family a score; probabilities are calibrated by a temperature that is
-fitted on examples kept out of training; `unknown` is a class of its own, and a
-family whose calibrated probability is below THRESHOLD becomes unknown too. A
-family is confirmed if enough of the paragraph's n-grams occur in its templates.
+A paragraph is a line with the lines that continue it: those that start with a small
+letter, or with capitals after capitals, where the line before doesn't end a sentence,
+and any after a line whose last 40 characters end none.
+Paragraphs with a marker word are turned into word unigrams and bigrams; a multinomial
+logistic regression with sparse weights gives each licence family a score;
+probabilities are calibrated by a temperature that is fitted on sentences whose frames
+and parts were kept out of training; `unknown` is a class of its own, and a family whose
+calibrated probability is below THRESHOLD becomes unknown too.
+
+A family is confirmed by its TEMPLATES, official names and texts that the classifier
+isn't trained on as such: by one whose n-grams the paragraph has, or one that has those
+of the paragraph, in a share of OVERLAP or more.
 
 Training runs on the driver over the fixed phrases below, a few hundred short
 examples whatever the input. Scanning is DataFrame operations only: the weights are
@@ -31,8 +37,9 @@ from pyspark.sql import functions as F
 SCALE = 1 << 20
 #: Least calibrated probability of a family.
 THRESHOLD = 0.5
-#: Least share of a paragraph's n-grams that are in a template of its family.
-OVERLAP = 0.6
+#: Least share of a template's n-grams that are in the paragraph, or of the paragraph's
+#: n-grams that are in the template, SHARED of them at least.
+OVERLAP, SHARED = 0.6, 3
 UNKNOWN = "unknown"
 #: Words, and runs of words of the licences themselves, without which a paragraph is no
 #: candidate. Every training paragraph of a family has one.
@@ -42,6 +49,8 @@ MARKERS = (
     r"|hereby granted|distribute this software|obtaining a copy|documentation files|without limitation the rights|merge, publish|substantial portions|software is provided|express or implied|source code form|can obtain one at|under the terms of the"
 )
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: The end of a line that goes on in the next one.
+WRAPPED = r"(?<=[^.!?:;\s])[ \t]*\n[ \t]*(?=[a-z])|(?<=[A-Z][A-Z,])[ \t]*\n[ \t]*(?=[A-Z][A-Z])|(?<=[^.!?:;\n]{40}[A-Za-z,])\n(?=[A-Z])"
 
 #: Names of the licence families as notices use them.
 NAMES = {
@@ -58,7 +67,8 @@ NAMES = {
     "mit": ["MIT License", "MIT license", "The MIT License", "MIT/X11 license", "Expat License"],
     "mpl": ["Mozilla Public License", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0"],
 }
-#: Sentences in which such names stand.
+#: Sentences in which such names stand; the last ones are for calibration.
+CALIBRATING = 5
 FRAMES = [
     "{}", "Released under the {}.", "Licensed under {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.",
     "Distributed under the terms of the {}.", "This program is free software; it is distributed under the {}.", "This file is available under the {}.",
@@ -107,6 +117,23 @@ SENTENCES = {
 }
 
 
+#: Official short texts and names of the licences that confirm a family.
+TEMPLATES = {
+    "agpl": ["GNU Affero General Public License", "AGPL", "AGPL-3.0", "You should have received a copy of the GNU Affero General Public License along with this program.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "apache": ["Apache License", "Apache-2.0", "Apache 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "Apache Software License"],
+    "bsd": ["BSD License", "BSD-3-Clause", "BSD-2-Clause", "BSD 3-Clause License", "BSD 2-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
+    "cc-by": ["CC BY 4.0", "CC-BY", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution License", "You must give appropriate credit, provide a link to the license, and indicate if changes were made."],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial", "You may not use the material for commercial purposes."],
+    "cc-by-sa": ["CC BY-SA 4.0", "CC-BY-SA 4.0", "Creative Commons Attribution-ShareAlike", "If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "cc0": ["CC0", "CC0 1.0 Universal", "Creative Commons Zero", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."],
+    "gpl": ["GNU General Public License", "GNU GPL", "GPL", "GPLv3", "GPL-2.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program."],
+    "isc": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "lgpl": ["GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."],
+    "mit": ["MIT License", "Expat License", "MIT/X11", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
+    "mpl": ["Mozilla Public License", "MPL 2.0", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+}
+
+
 def normal_words(text: str) -> list[str]:
     """Lower-cased words; digits count as zero."""
     return re.findall(WORD, re.sub(r"[0-9]+", "0", text.lower()), re.ASCII)
@@ -117,16 +144,18 @@ def grams(words: list[str]) -> list[str]:
     return list(dict.fromkeys([*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))]))
 
 
-def examples() -> list[tuple[str, str]]:
-    """(family, paragraph): names in frames; sentences, whole and in overlapping parts as wrapped lines have them."""
-    out = [(family, frame.format(name)) for family, names in sorted(NAMES.items()) for name in names for frame in FRAMES]
+def examples() -> list[tuple[str, str, bool]]:
+    """(family, paragraph, whether it is for calibration): names in frames; sentences, whole
+    and in overlapping parts as pieces of them occur. Frames and sentences for calibration
+    occur in no other example."""
+    out = [(family, frame.format(name), i >= len(FRAMES) - CALIBRATING) for family, names in sorted(NAMES.items()) for name in names for i, frame in enumerate(FRAMES)]
     for family, sentences in sorted(SENTENCES.items()):
-        for s in sentences:
-            words = s.split()
-            out.append((family, s))
+        for i, s in enumerate(sentences):
+            words, apart = s.split(), i % 4 == 3
+            out.append((family, s, apart))
             if len(words) > 12:
                 third = len(words) // 3
-                out += [(family, " ".join(words[a:b])) for a, b in ((0, 2 * third), (third, None), (0, third), (third, 2 * third), (2 * third, None))]
+                out += [(family, " ".join(words[a:b]), apart) for a, b in ((0, 2 * third), (third, None), (0, third), (third, 2 * third), (2 * third, None))]
     return out
 
 
@@ -136,7 +165,8 @@ class Model:
     weights: dict[str, list[int]]  # n-gram -> a weight for each family
     intercepts: list[int]
     temperature: float
-    templates: dict[str, set[str]]  # family -> n-grams of its templates
+    losses: tuple[float, float]  # mean log loss on the calibration sentences, before and after
+    templates: list[tuple[str, set[str]]]  # family, n-grams
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -147,14 +177,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(rounds: int = 600, rate: float = 1.0, ridge: float = 1e-3, least: float = 0.02) -> Model:
     """Logistic regression over the fixed examples; weights under `least` are dropped."""
     data = examples()
-    families = sorted({f for f, _ in data})
-    sets = [grams(normal_words(p)) for _, p in data]
+    families = sorted({f for f, *_ in data})
+    sets = [grams(normal_words(p)) for _, p, _ in data]
     features = {g: i for i, g in enumerate(sorted({g for s in sets for g in s}))}
     x = np.zeros((len(data), len(features)))
     for i, s in enumerate(sets):
         x[i, [features[g] for g in s]] = 1
-    y = np.array([families.index(f) for f, _ in data])
-    kept_out = np.arange(len(data)) % 5 == 4
+    y = np.array([families.index(f) for f, *_ in data])
+    kept_out = np.array([apart for *_, apart in data])
 
     def fit(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         share = 1 / np.maximum(np.bincount(ys, minlength=len(families)), 1)[ys]
@@ -169,21 +199,25 @@ def train(rounds: int = 600, rate: float = 1.0, ridge: float = 1e-3, least: floa
 
     w, b = fit(x[~kept_out], y[~kept_out])
     z = x[kept_out] @ w + b
-    grid = np.geomspace(0.1, 4, 60)
-    loss = [-np.log(_softmax(z / t)[np.arange(len(z)), y[kept_out]] + 1e-12).mean() for t in grid]
+    grid = np.geomspace(0.05, 20, 120)
+    loss = lambda t: float(-np.log(_softmax(z / t)[np.arange(len(z)), y[kept_out]] + 1e-12).mean())
+    temperature = float(min(grid, key=loss))
     w, b = fit(x, y)
     whole = np.round(w * SCALE).astype(int)
     whole[np.abs(w) < least] = 0
     weights = {g: whole[i].tolist() for g, i in features.items() if whole[i].any()}
-    templates = {f: {g for (family, _), s in zip(data, sets, strict=True) if family == f for g in s} for f in families}
-    return Model(families, weights, np.round(b * SCALE).astype(int).tolist(), float(grid[int(np.argmin(loss))]), templates)
+    templates = [(f, set(grams(normal_words(t)))) for f, ts in sorted(TEMPLATES.items()) for t in ts]
+    return Model(families, weights, np.round(b * SCALE).astype(int).tolist(), temperature, (loss(1.0), loss(temperature)), templates)
 
 
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(gram, w array<bigint>, t array<int>): a row for each n-gram of the training phrases."""
+    """(gram, w array<bigint>, t array<int>): weights and templates of each known n-gram."""
     zero = [0] * len(model.families)
-    known = sorted(set(model.weights) | set().union(*model.templates.values()))
-    rows = [(g, model.weights.get(g, zero), [int(g in model.templates[f]) for f in model.families]) for g in known]
+    of: dict[str, list[int]] = {}
+    for i, (_, own) in enumerate(model.templates):
+        for g in own:
+            of.setdefault(g, []).append(i)
+    rows = [(g, model.weights.get(g, zero), of.get(g, [])) for g in sorted(set(model.weights) | set(of))]
     return spark.createDataFrame(rows, "gram string, w array<bigint>, t array<int>")
 
 
@@ -206,7 +240,7 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     `key` names the row of docs, `para` counts its candidates from 0.
     """
     text = F.col(text_col)
-    marked = F.when(text.rlike(MARKERS), F.filter(F.split(text, "\n"), lambda p: p.rlike(MARKERS)))
+    marked = F.when(text.rlike(MARKERS), F.filter(F.split(F.regexp_replace(text, WRAPPED, " "), "\n"), lambda p: p.rlike(MARKERS)))
     base = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), marked.alias("marked"))
     rows = base.select("key", "id", F.posexplode_outer("marked").alias("para", "paragraph"))
     # words are cut once, before they are used several times
@@ -218,16 +252,21 @@ def paragraphs(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         F.first("paragraph").alias("paragraph"),
         F.first("n").alias("n"),
         *[F.coalesce(F.sum(F.get("w", F.lit(c))), F.lit(0)).alias(f"w{c}") for c in range(k)],
-        *[F.coalesce(F.sum(F.get("t", F.lit(c))), F.lit(0)).alias(f"t{c}") for c in range(k)],
+        F.flatten(F.collect_list("t")).alias("hits"),
     )
-    scores = F.array(*[F.struct((F.col(f"w{c}") + model.intercepts[c]).alias("z"), F.lit(-c).alias("first"), F.col(f"t{c}").alias("t")) for c in range(k)])
+    scores = F.array(*[F.struct((F.col(f"w{c}") + model.intercepts[c]).alias("z"), F.lit(-c).alias("first")) for c in range(k)])
     best = sums.withColumn("best", F.array_max(scores))
     beta = 1.0 / (SCALE * model.temperature)
     total = sum((F.exp((F.col(f"w{c}") + model.intercepts[c] - F.col("best.z")) * beta) for c in range(k)), F.lit(0.0))
     best = best.withColumn("probability", F.round(1 / total, 6))
     name = F.get(F.array(*[F.lit(f) for f in model.families]), -F.col("best.first"))
     family = F.when(F.col("probability") >= THRESHOLD, name).otherwise(UNKNOWN)
-    overlap = F.round(F.col("best.t") / F.greatest("n", F.lit(1)), 6)
+    own = [[F.struct(F.lit(i).alias("t"), F.lit(len(g)).alias("size")) for i, (f, g) in enumerate(model.templates) if f == family_] for family_ in model.families]
+    kind = "array<struct<t:int,size:int>>"
+    mine = F.get(F.array(*[F.array(*x).cast(kind) for x in own]), -F.col("best.first"))
+    shared = F.transform(mine, lambda x: F.struct(F.size(F.filter("hits", lambda h: h == x["t"])).alias("n"), x["size"].alias("size")))
+    share = F.transform(shared, lambda x: F.greatest(x["n"] / x["size"], F.when(x["n"] >= SHARED, x["n"] / F.greatest("n", F.lit(1))).otherwise(0.0)))
+    overlap = F.round(F.coalesce(F.array_max(share), F.lit(0.0)), 6)
     out = best.select("key", "id", "para", "paragraph", family.alias("family"), "probability", overlap.alias("overlap"))
     some = F.col("paragraph").isNotNull()
     return out.select(
