@@ -250,7 +250,7 @@ def test_aliases_recipients_profiles(spark):
 def test_shared_folder(spark, tmp_path):
     from types import SimpleNamespace
 
-    from tidewater.session import shared_folder
+    from tidewater.session import shared_folder, stored
 
     def session(master, **conf):
         return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=SimpleNamespace(master=master))
@@ -260,4 +260,4 @@ def test_shared_folder(spark, tmp_path):
     assert shared_folder(local) == shared_folder(local)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("spark://a:7077"))
-    assert graph._stored(spark.range(3)).count() == 3
+    assert stored(spark.range(3)).count() == 3

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.operators.analytics import top_per_key
-from tidewater.session import shared_folder
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir and read back, to cut the lineage of iterations."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tidewater.session import stored
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -60,7 +50,7 @@ def chains(edges: DataFrame, root: int, depth: int = 3, least: float = 0.3) -> D
     for d in range(2, depth + 1):
         new = e.join(last.select(F.col("node").alias("_n")), F.col("parent") == F.col("_n")).drop("_n")
         new = new.join(found.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti").filter(F.col("node") != root)
-        last = _stored(top_per_key(new, ["node"], [F.col("parent")], 1).select("parent", "node", F.lit(d).alias("depth"), "conf"))
+        last = stored(top_per_key(new, ["node"], [F.col("parent")], 1).select("parent", "node", F.lit(d).alias("depth"), "conf"))
         found = found.unionByName(last)
     return found
 
@@ -139,13 +129,13 @@ def upsert_edges(old: DataFrame, new: DataFrame, when: str) -> DataFrame:
 def clusters(edges: DataFrame) -> DataFrame:
     """(node, cluster): connected components by the smallest node, by repeated minimum and
     pointer jumping; only the number of changes reaches the driver."""
-    both = _stored(symmetric(edges.select("src", "dst")).distinct())
-    labels = _stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("cluster")))
+    both = stored(symmetric(edges.select("src", "dst")).distinct())
+    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("cluster")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("_n"), F.col("cluster").alias("_c")), F.col("dst") == F.col("_n")).groupBy("src").agg(F.min("_c").alias("_c"))
         new = labels.join(seen, F.col("node") == F.col("src"), "left").select("node", "cluster", F.least("cluster", "_c").alias("next"))
         jump = labels.select(F.col("node").alias("_n"), F.col("cluster").alias("_j"))
-        new = _stored(new.join(jump, F.col("next") == F.col("_n"), "left").select("node", "cluster", F.least("next", "_j").alias("next")))
+        new = stored(new.join(jump, F.col("next") == F.col("_n"), "left").select("node", "cluster", F.least("next", "_j").alias("next")))
         changed = new.filter("cluster <> next").count()
         labels = new.select("node", F.col("next").alias("cluster"))
         if not changed:
@@ -156,8 +146,8 @@ def dense_points(pairs: DataFrame, least: int = 2) -> DataFrame:
     """DBSCAN labels from pairs of neighbours (src, dst), both listed once: cores have
     `least` points within reach, themselves included; cores that reach each other share
     a cluster, other points join the smallest cluster among their cores."""
-    both = _stored(symmetric(pairs.select("src", "dst")).distinct())
-    cores = _stored(both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= least).select(F.col("src").alias("core")))
+    both = stored(symmetric(pairs.select("src", "dst")).distinct())
+    cores = stored(both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= least).select(F.col("src").alias("core")))
     inner = both.join(cores, F.col("src") == F.col("core"), "left_semi").join(cores, F.col("dst") == F.col("core"), "left_semi")
     own = cores.select(F.col("core").alias("node"), F.col("core").alias("self"))
     labelled = own.join(clusters(inner), "node", "left").select("node", F.coalesce("cluster", "self").alias("cluster"))

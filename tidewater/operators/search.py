@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scores as S
 from tidewater.functions import text as T
 from tidewater.operators.analytics import top_per_key
+from tidewater.session import stored
 
 
 def chunks(docs: DataFrame, id_col: str, text: str, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -29,12 +30,14 @@ def _is(word: str) -> Callable[[Column], Column]:
 def bm25(docs: DataFrame, id_col: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents with a query term: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Term frequencies are counted inside each row; one pass gives N, the mean length and
-    the document frequencies as a single row that is joined back."""
+    Term frequencies are counted inside each row and written once, a few numbers for
+    each document; N, the mean length and the document frequencies are one row made from
+    these, so texts are read and cut into words once."""
     q = list(dict.fromkeys(query))
     counted = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w")).select(
         "id", F.size("w").alias("len"), *[F.size(F.filter("w", _is(w))).alias(f"tf{i}") for i, w in enumerate(q)]
     )
+    counted = stored(counted, "terms")
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(q))])
     j = counted.join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -59,10 +62,12 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def normalised(scored: DataFrame) -> DataFrame:
-    """Scores from 0 to 1 by minimum and maximum; a constant list becomes 1."""
-    ends = scored.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    x = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))
-    return scored.join(F.broadcast(ends)).select("id", x.alias("score"))
+    """Scores from 0 to 1 by minimum and maximum; a constant list becomes 1. For top lists:
+    the window over all rows reads the list once."""
+    w = Window.partitionBy()
+    lo, hi = F.min("score").over(w), F.max("score").over(w)
+    x = F.when(hi == lo, 1.0).otherwise((F.col("score") - lo) / F.nullif(hi - lo, F.lit(0.0)))
+    return scored.select("id", x.alias("score"))
 
 
 def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, alpha: float = 0.6, limit: int = 10) -> DataFrame:

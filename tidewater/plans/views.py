@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.plans import dims
+from tidewater.session import spread
 
 TYPES = {"error": "sanctions", "click": "earnings_miss", "view": "regulatory", "purchase": "m&a", "signup": "rate_hike"}
 START = 1704067200
@@ -32,7 +33,7 @@ class Views:
         )
 
     def news(self) -> DataFrame:
-        return self.table("documents").select(
+        return spread(self.table("documents")).select(
             F.col("doc_id").alias("id"), F.col("text").alias("text_plain"), T.title_of(F.col("text")).alias("title"), "lang", "source", "n_chars",
             (F.lit(START) + F.col("doc_id") * 420).alias("pub"), F.sha2("text", 256).alias("hash_content"),
         )
@@ -41,11 +42,12 @@ class Views:
         kind = F.lit("other")
         for have, means in TYPES.items():
             kind = F.when(F.col("event_type") == have, means).otherwise(kind)
-        ts, n = F.col("ts").cast("timestamp"), self.table("documents").count()
-        return self.table("events").select(
+        ts = F.col("ts").cast("timestamp")
+        total = self.table("documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+        return self.table("events").join(F.broadcast(total)).select(
             F.col("event_id").alias("id"), ts.alias("ts"), F.unix_micros(ts).alias("us"), kind.alias("event_type"),
             F.concat(F.lit("T"), (F.col("user_id") % 20).cast("string")).alias("ticker"), F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("company"),
-            "value", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("event_id") % n).alias("news_id"), kind.isin(dims.ANCHOR_TYPES).alias("is_anchor"),
+            "value", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("event_id") % F.col("n")).alias("news_id"), kind.isin(dims.ANCHOR_TYPES).alias("is_anchor"),
         )
 
     def importance(self) -> DataFrame:

@@ -7,9 +7,10 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: int | None = None, app: str = "tidewater", **conf: str) -> SparkSession:
@@ -56,6 +57,24 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df written once under the shared folder and read back, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Partitions from which a scan is left as it is split.
+SPLIT = 8
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan, dealt over the cores if it comes in a handful of partitions, as a small
+    file of one row group does. A scan of SPLIT or more partitions isn't moved."""
+    n = min(SPLIT, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers import this package wherever they run: it is added to the
     session's Python files once, as a zip that the driver serves."""
