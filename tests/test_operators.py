@@ -86,8 +86,57 @@ def test_causal_pairs_respect_lags(spark):
     rows = [(1, ts(0), "sanctions", "T"), (2, ts(86400), "other", "T"), (3, ts(86401), "other", "T"), (4, ts(0), "other", "T"), (5, ts(90), "rate_hike", "T"), (6, ts(100), "other", "U")]
     e = spark.createDataFrame(rows, "id int, ts timestamp, event_type string, ticker string")
     assert {(r.cause_id, r.effect_id, r.kind) for r in ceg.causal_pairs(e, ["ticker"]).collect()} == {(1, 2, "RETRO"), (1, 5, "RETRO")}
-    full = ceg.causal_pairs(e, ["ticker"], text=F.lit(0.8)).collect()
-    assert (5, 2) in {(r.cause_id, r.effect_id) for r in full} and {r.kind for r in full} == {"CONFIRMED"}
+    full = ceg.causal_pairs(e.withColumn("text_conf", F.lit(0.8)), ["ticker"]).collect()
+    pairs = {(r.cause_id, r.effect_id): r for r in full}
+    assert len(full) == len(pairs) and pairs[5, 2].kind == "CONFIRMED"
+    # outside the lag the prior counts half: 0.4 x 0.375 + 0.3 x 0.8, a day and a second after the sanctions
+    assert pairs[1, 3].kind == "HYPOTHESIS" and pairs[1, 3].conf_total == pytest.approx(0.39)
+    # before the lag of a rate hike has begun
+    assert (4, 2) not in pairs and ceg.causal_pairs(e.withColumn("text_conf", F.lit(1.0)), ["ticker"]).filter("cause_id = 4").count() > 0
+    weak = ceg.causal_pairs(e.withColumns({"text_conf": F.lit(0.4), "market_conf": F.lit(1.0)}), ["ticker"]).collect()
+    assert {(r.cause_id, r.effect_id): r.conf_total for r in weak}[1, 2] == pytest.approx(0.72) and not any(r.effect_id == 3 and r.cause_id == 1 for r in weak)
+
+
+def test_evidence_matches_a_loop(spark):
+    rng = random.Random(5)
+    kinds = ["sanctions", "market_drop", "volatility_spike", "trade_restrictions", "other"]
+    rows = [(i, ts(rng.randrange(0, 4 * 86400, 1800)), rng.choice(kinds), rng.choice("AB"), rng.sample("xyz", rng.randrange(3)), rng.sample("uvw", rng.randrange(3)), rng.random()) for i in rng.sample(range(1000), 90)]
+    e = spark.createDataFrame(rows, "id long, ts timestamp, event_type string, ticker string, entities array<string>, words array<string>, weight double")
+    pairs = ceg.causal_pairs(e, ["ticker"])
+    of = {r[0]: r for r in rows}
+    links = ceg.dims.SEMANTIC_LINKS
+
+    def score(c, x, f):
+        linked = lambda a, b: b[2] in links.get(a[2], [])
+        semantic = 0.6 * linked(c, x) + 0.6 * linked(f, x) + 0.4 * (linked(c, x) or linked(x, f))
+        share = lambda a: len(set(x[5]) & set(a[5])) / len(a[5]) * 0.5 if a[5] else 0
+        semantic = min(semantic + 0.3 * min(share(c) + share(f), 1), 1)
+        most = max(len(c[4]), len(f[4]))
+        entity = min((len(set(x[4]) & set(c[4])) + len(set(x[4]) & set(f[4]))) / most, 1) if most and x[4] else 0
+        return 0.3 * (c[1] < x[1] < f[1]) + 0.3 * semantic + 0.25 * entity + 0.1 * 0.5 + 0.05 * x[6]
+
+    want = {}
+    for p in pairs.collect():
+        c, f = of[p.cause_id], of[p.effect_id]
+        near = [x for x in rows if x[3] == c[3] and c[1] - datetime.timedelta(hours=2) <= x[1] <= f[1] + datetime.timedelta(hours=2) and x[0] not in (c[0], f[0])]
+        best = sorted((-round(score(c, x, f), 9), x[0]) for x in near if score(c, x, f) > 0.3)[:5]
+        want |= {(c[0], f[0], i): (rank, -s) for rank, (s, i) in enumerate(best, 1)}
+    for salts in (1, 3):
+        got = ceg.evidence(pairs, e, ["ticker"], 86400, salts=salts).collect()
+        assert {(r.cause_id, r.effect_id, r.evidence_id): (r.rank, round(r.score, 9)) for r in got} == want and len(got) == len(want) > 50
+    assert ceg.evidence(pairs.limit(0), e, ["ticker"], 86400).collect() == []
+
+
+def test_retroactive_matches_a_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, ts(rng.randrange(0, 40 * 86400, 3600)), rng.choice(["A", "A", "B", None])) for i in range(300)]
+    e = spark.createDataFrame(rows, "id long, ts timestamp, ticker string")
+    want = set()
+    for c in rows:
+        after = sorted((x[1], x[0]) for x in rows if c[2] and x[2] == c[2] and datetime.timedelta(hours=1) < x[1] - c[1] <= datetime.timedelta(days=30))
+        want |= {(c[0], i, k) for k, (_, i) in enumerate(after[:7], 1)}
+    got = ceg.retroactive(e, e, ["ticker"], cap=7).collect()
+    assert {(r.cause_id, r.effect_id, r["rank"]) for r in got} == want and len(got) == len(want)
 
 
 def test_paths(spark):

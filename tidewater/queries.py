@@ -568,18 +568,33 @@ pairs AS (
 """
 
 
-@query("WITH " + PAIRS_SQL + "SELECT cause_id, effect_id, round(conf_total, 6) AS conf_total, 'RETRO' AS kind FROM pairs")
+def _told(v):
+    """Events with the confidence of the causal markers in their news."""
+    n = v.news().select(F.col("id").alias("nid"), T.causal_confidence(F.col("text_plain"), {0.9: ["worthless"], 0.7: ["trash"]}).cast("double").alias("text_conf"))
+    return v.events().join(n, F.col("news_id") == F.col("nid"), "left")
+
+
+@query("""
+WITH t AS (SELECT e.*, CASE WHEN contains(x, 'worthless') THEN 0.9 WHEN contains(x, 'trash') THEN 0.7 ELSE 0 END::DOUBLE AS text_conf FROM v_events e LEFT JOIN (SELECT id AS nid, lower(text_plain) AS x FROM v_news) ON nid = news_id),
+p AS (
+  SELECT c.id AS cause_id, e.id AS effect_id, CASE c.event_type WHEN 'rate_hike' THEN e.us - c.us BETWEEN 3600000000 AND 86400000000 WHEN 'regulatory' THEN e.us - c.us BETWEEN 86400000000 AND 7 * 86400000000 ELSE e.us - c.us <= 86400000000 END AS timely,
+         CASE c.event_type WHEN 'm&a' THEN 0.8 WHEN 'sanctions' THEN 0.75 WHEN 'earnings_miss' THEN 0.75 WHEN 'rate_hike' THEN 0.65 WHEN 'regulatory' THEN 0.55 END::DOUBLE AS prior, e.text_conf
+  FROM t c JOIN t e ON c.ticker = e.ticker AND e.us > c.us AND e.us <= c.us + 30 * 86400000000 AND (e.us - c.us <= 86400000000 OR e.text_conf > 0)),
+q AS (SELECT *, CASE WHEN prior IS NULL THEN 0 WHEN timely THEN prior ELSE prior * 0.5::DOUBLE END AS conf_prior FROM p)
+SELECT cause_id, effect_id, round(0.4::DOUBLE * conf_prior + 0.3::DOUBLE * text_conf, 6) AS conf_total,
+       CASE WHEN conf_prior >= 0.6 AND text_conf >= 0.6 THEN 'CONFIRMED' WHEN conf_prior >= 0.5 THEN 'RETRO' ELSE 'HYPOTHESIS' END AS kind
+FROM q WHERE 0.4::DOUBLE * conf_prior + 0.3::DOUBLE * text_conf >= 0.3::DOUBLE""")
 def causal_pairs(v):
-    return ceg.causal_pairs(v.events(), ["ticker"]).select("cause_id", "effect_id", F.round("conf_total", 6).alias("conf_total"), "kind")
+    return ceg.causal_pairs(_told(v), ["ticker"]).select("cause_id", "effect_id", F.round("conf_total", 6).alias("conf_total"), "kind")
 
 
 @query("""
 SELECT cause_id, effect_id, rank FROM (
   SELECT c.id AS cause_id, e.id AS effect_id, CAST(row_number() OVER (PARTITION BY c.id ORDER BY e.us, e.id) AS INTEGER) AS rank
-  FROM v_events c JOIN v_events e ON c.ticker = e.ticker AND e.us > c.us + 3600000000 AND e.us <= c.us + 2592000000000 WHERE c.value >= 150) WHERE rank <= 100""")
+  FROM v_events c JOIN v_events e ON c.ticker = e.ticker AND e.us > c.us + 3600000000 AND e.us <= c.us + 2592000000000) WHERE rank <= 100""")
 def retro_links(v):
     e = v.events()
-    return ceg.retroactive(e.filter("value >= 150"), e, ["ticker"]).select("cause_id", "effect_id", "rank")
+    return ceg.retroactive(e, e, ["ticker"]).select("cause_id", "effect_id", "rank")
 
 
 @query("WITH " + PAIRS_SQL + """
@@ -594,6 +609,7 @@ def evidence_top3(v):
 , s AS (
   SELECT n.cause_id, n.effect_id, e.id AS evidence_id,
     0.3::DOUBLE * CASE WHEN e.us > n.cause_us AND e.us < n.effect_us THEN least(1.5::DOUBLE * exp(-power((e.us - n.cause_us) / (n.effect_us - n.cause_us)::DOUBLE - 0.5, 2) / 32), 1) ELSE 0 END
+    + 0.3::DOUBLE * 0.3 * (0.5 * (e.company = a.company)::INT + 0.5 * (e.company = b.company)::INT)
     + 0.25::DOUBLE * least((1 + (e.company = a.company)::INT + 1 + (e.company = b.company)::INT) / 2.0::DOUBLE, 1) + 0.1::DOUBLE * 0.5 + 0.05::DOUBLE * 0.5 AS score,
     CASE WHEN NOT (e.us > n.cause_us AND e.us < n.effect_us) THEN 'additional_context' WHEN e.event_type = 'regulatory' THEN 'regulatory_factor' ELSE 'causal_mediator' END AS kind
   FROM pairs n JOIN v_events a ON a.id = n.cause_id JOIN v_events b ON b.id = n.effect_id
@@ -601,7 +617,8 @@ def evidence_top3(v):
 SELECT cause_id, effect_id, evidence_id, round(score, 6) AS score, kind AS evidence_kind FROM (
   SELECT *, row_number() OVER (PARTITION BY cause_id, effect_id ORDER BY round(score, 9) DESC, evidence_id) AS r FROM s WHERE score > 0.3) WHERE r <= 5""")
 def evidence_scores(v):
-    return ceg.evidence(ceg.causal_pairs(v.events(), ["ticker"]), v.events(), ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", F.round("score", 6).alias("score"), "evidence_kind")
+    e = v.events().withColumn("words", ceg.keywords(F.lit(None).cast("string"), F.array("company")))
+    return ceg.evidence(ceg.causal_pairs(e, ["ticker"]), e, ["ticker"], 86400).select("cause_id", "effect_id", "evidence_id", F.round("score", 6).alias("score"), "evidence_kind")
 
 
 @query("""
