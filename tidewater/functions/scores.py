@@ -139,6 +139,11 @@ def price_impact(abnormal: Column, volume_ratio: Column) -> Column:
     return F.least(70 * F.abs(abnormal) + 0.3 * F.greatest(volume_ratio - 1, F.lit(0.0)) / 5, F.lit(1.0))
 
 
+def mean_price_impact(mean: Column, most: Column) -> Column:
+    """The tickers' mean, 0.2 more if one exceeds 0.7, 1 at most; 0 without any."""
+    return F.when(mean.isNull(), 0.0).otherwise(F.least(mean + F.when(most > 0.7, 0.2).otherwise(0.0), F.lit(1.0)))
+
+
 def importance(parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:
     """Weighted sum of the five components, clipped to [0, 1]; weights are scaled to sum to 1."""
     w = weights or dims.IMPORTANCE_WEIGHTS

@@ -6,7 +6,7 @@ engines compare whole numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
@@ -17,6 +17,12 @@ TYPES = {"error": "sanctions", "click": "earnings_miss", "view": "regulatory", "
 START = 1704067200
 
 
+def mentions(head: str, who: tuple, base: int, k) -> Column:
+    """Names that an event has: that of its user moved by each shift whose divisor divides k."""
+    names = [F.when(k % every == 0, F.concat(F.lit(head), ((F.col("user_id") + shift) % base).cast("string"))) for shift, every in who]
+    return F.filter(F.array(*names), lambda x: x.isNotNull())
+
+
 class Views:
     """Views of one data folder."""
 
@@ -47,7 +53,8 @@ class Views:
         return self.table("events").join(F.broadcast(total)).select(
             F.col("event_id").alias("id"), ts.alias("ts"), F.unix_micros(ts).alias("us"), kind.alias("event_type"),
             F.concat(F.lit("T"), (F.col("user_id") % 20).cast("string")).alias("ticker"), F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("company"),
-            "value", F.get_json_object("props", "$.k").cast("int").alias("k"), (F.col("event_id") % F.col("n")).alias("news_id"), kind.isin(dims.ANCHOR_TYPES).alias("is_anchor"),
+            "value", (k := F.get_json_object("props", "$.k").cast("int")).alias("k"), mentions("T", ((0, 1), (7, 3), (11, 4), (13, 5)), 20, k).alias("tickers"),
+            mentions("C", ((0, 1), (1, 2), (2, 3), (3, 6), (4, 6), (5, 6), (6, 9)), 1 << 40, k).alias("companies"), (F.col("event_id") % F.col("n")).alias("news_id"), kind.isin(dims.ANCHOR_TYPES).alias("is_anchor"),
         )
 
     def importance(self) -> DataFrame:
@@ -68,6 +75,15 @@ class Views:
             F.col("s_suppkey").alias("secid"), F.col("s_name").alias("name"), F.col("n_name").alias("sector"), F.col("r_name").alias("country")
         )
 
+    def sectors(self) -> DataFrame:
+        """(ticker, sector): a ticker is in the sector of the company of its number."""
+        return self.companies().filter("secid < 20").select(F.concat(F.lit("T"), F.col("secid").cast("string")).alias("ticker"), "sector")
+
+    def impacts(self) -> DataFrame:
+        """IMPACTS edges (event_id, ticker, price_impact, volume_impact) of every other event, to its first two tickers."""
+        e = self.events().filter("id % 2 = 0").select(F.col("id").alias("event_id"), F.posexplode(F.slice("tickers", 1, 2)).alias("pos", "ticker"), "k", "value")
+        return e.select("event_id", "ticker", ((F.col("k") - 50) / (5000 + 2000 * F.col("pos"))).alias("price_impact"), (F.col("value") / 40).alias("volume_impact"))
+
     def watches(self) -> DataFrame:
         """A watch for each event of some importance."""
         e = self.events()
@@ -109,9 +125,17 @@ SQL = {
   SELECT event_id AS id, ts, epoch_us(ts) AS us,
          CASE event_type WHEN 'error' THEN 'sanctions' WHEN 'click' THEN 'earnings_miss' WHEN 'view' THEN 'regulatory'
                          WHEN 'purchase' THEN 'm&a' WHEN 'signup' THEN 'rate_hike' ELSE 'other' END AS event_type,
-         'T' || (user_id % 20) AS ticker, 'C' || user_id AS company, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         'T' || (user_id % 20) AS ticker, 'C' || user_id AS company, value, k,
+         list_filter(['T' || (user_id % 20), CASE WHEN k % 3 = 0 THEN 'T' || ((user_id + 7) % 20) END, CASE WHEN k % 4 = 0 THEN 'T' || ((user_id + 11) % 20) END,
+                      CASE WHEN k % 5 = 0 THEN 'T' || ((user_id + 13) % 20) END], lambda x: x IS NOT NULL) AS tickers,
+         list_filter(['C' || user_id, CASE WHEN k % 2 = 0 THEN 'C' || (user_id + 1) END, CASE WHEN k % 3 = 0 THEN 'C' || (user_id + 2) END, CASE WHEN k % 6 = 0 THEN 'C' || (user_id + 3) END,
+                      CASE WHEN k % 6 = 0 THEN 'C' || (user_id + 4) END, CASE WHEN k % 6 = 0 THEN 'C' || (user_id + 5) END, CASE WHEN k % 9 = 0 THEN 'C' || (user_id + 6) END], lambda x: x IS NOT NULL) AS companies,
          event_id % (SELECT count(*) FROM documents) AS news_id, event_type IN ('error', 'click', 'view', 'purchase', 'signup') AS is_anchor
-  FROM events""",
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
+    "v_sectors": "SELECT 'T' || secid AS ticker, sector FROM v_companies WHERE secid < 20",
+    "v_impacts": """
+  SELECT id AS event_id, tickers[p + 1] AS ticker, (k - 50) / (5000 + 2000 * p)::DOUBLE AS price_impact, value / 40 AS volume_impact
+  FROM v_events, range(0, 2) r(p) WHERE id % 2 = 0 AND p < len(tickers)""",
     "v_importance": """
   SELECT id AS event_id, us AS calculated, event_type, least(value / 200, 1.0) AS importance_score FROM v_events
   UNION ALL SELECT id, us + 3600000000, event_type, least(value / 200, 1.0) * 0.9 FROM v_events WHERE id % 2 = 0""",
@@ -135,7 +159,7 @@ SQL = {
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
   WHERE a.l_quantity >= 45 AND a.l_discount >= 0.09 AND a.l_suppkey <> b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey""",
 }
-NEEDS = {"v_importance": ["v_events"], "v_watches": ["v_events"]}
+NEEDS = {"v_sectors": ["v_companies"], "v_impacts": ["v_events"], "v_importance": ["v_events"], "v_watches": ["v_events"]}
 
 
 def sql(query: str) -> str:

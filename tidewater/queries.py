@@ -521,14 +521,19 @@ def event_burst(v):
 
 
 RARITY_SQL = "CASE event_type WHEN 'sanctions' THEN 0.9 WHEN 'm&a' THEN 0.75 WHEN 'rate_hike' THEN 0.65 WHEN 'earnings_miss' THEN 0.4 ELSE 0.5 END::DOUBLE"
-NOVELTY_SQL = f"least(0.7 * (0.5 + CASE WHEN before = 0 THEN 0.3 WHEN before = 1 THEN 0.1 ELSE 0.05 * greatest(5 - before, 0) / 5 END::DOUBLE) + 0.3 * {RARITY_SQL}, 1)"
+#: What single tickers give, added up by event, in the SQL of novelty and importance.
+MENTIONS_SQL = """
+m AS (
+  SELECT *, count(*) OVER (PARTITION BY event_type, ticker ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) AS before
+  FROM (SELECT id, us, event_type, unnest(tickers) AS ticker, unnest(range(0, len(tickers))) AS pos FROM (SELECT id, us, event_type, tickers FROM v_events))),
+gains AS (SELECT id, sum(CASE WHEN before = 0 THEN 0.3 WHEN before = 1 THEN 0.1 ELSE 0.05 * greatest(5 - before, 0) / 5 END::DOUBLE) AS gains FROM m WHERE pos < 3 GROUP BY id)
+"""
+NOVELTY_SQL = f"CASE WHEN gains IS NULL THEN 0.35 + 0.3 * {RARITY_SQL} ELSE least(0.7 * (0.5 + gains) + 0.3 * {RARITY_SQL}, 1) END"
 
 
-@query(f"""
-SELECT id, before, round({NOVELTY_SQL}, 6) AS novelty
-FROM (SELECT id, event_type, count(*) OVER (PARTITION BY event_type, ticker ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) AS before FROM v_events)""")
+@query("WITH " + MENTIONS_SQL + f"SELECT id, round(gains, 6) AS gains, round({NOVELTY_SQL}, 6) AS novelty FROM v_events LEFT JOIN gains USING (id)")
 def novelty_counts(v):
-    return ceg.novelty(v.events()).select("id", "before", F.round("novelty", 6).alias("novelty"))
+    return ceg.novelty(v.events()).select("id", F.round("gains", 6).alias("gains"), F.round("novelty", 6).alias("novelty"))
 
 
 CORROBORATION_SQL = """
@@ -547,18 +552,23 @@ def source_corroboration(v):
     return ceg.corroboration(v.events(), v.news(), v.sources()).select("id", "kinds", "others", F.round("corroboration", 6).alias("corroboration"))
 
 
-@query("WITH " + CORROBORATION_SQL + f"""
-, x AS (SELECT *, count(*) OVER (PARTITION BY event_type, ticker ORDER BY us RANGE BETWEEN 2592000000000 PRECEDING AND 1 PRECEDING) AS before,
-          count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n24,
+@query("WITH " + CORROBORATION_SQL + "," + MENTIONS_SQL + f"""
+, x AS (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n24,
           count(*) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS n6 FROM corr),
+div AS (SELECT m.id, count(DISTINCT sector) AS n_sectors, count(DISTINCT pos) AS n_tickers FROM m LEFT JOIN v_sectors s ON s.ticker = m.ticker WHERE pos < 5 GROUP BY m.id),
+imp AS (SELECT m.id, least(avg(i) + CASE WHEN max(i) > 0.7 THEN 0.2 ELSE 0 END, 1) AS price_impact
+        FROM m JOIN (SELECT event_id, ticker, least(70 * abs(price_impact) + 0.3::DOUBLE * greatest(volume_impact - 1, 0) / 5, 1) AS i FROM v_impacts) t ON t.event_id = m.id AND t.ticker = m.ticker WHERE pos < 3 GROUP BY m.id),
 y AS (SELECT id, {NOVELTY_SQL} AS novelty, least(CASE WHEN n24 < 2 THEN 0.1 ELSE least(power(n24 - 1, 0.7) / 10, 1) END + CASE WHEN n6 > 0.7 * n24 THEN 0.3 ELSE 0 END, 1) AS burst,
         least(greatest(0.5::DOUBLE + 0.1::DOUBLE * (trust_level - 5) + CASE WHEN kind = 'telegram' AND trust_level >= 8 THEN 0.2 WHEN kind = 'telegram' AND trust_level >= 6 THEN 0.1 ELSE 0 END
           + CASE WHEN event_type IN ('earnings_miss', 'm&a', 'rate_hike') THEN 0.2 ELSE 0 END + CASE WHEN is_anchor THEN 0.15 ELSE 0 END + 0.1::DOUBLE * corroboration, 0), 1) AS credibility,
-        least(0.3::DOUBLE + 0.2 + CASE WHEN event_type IN ('sanctions', 'regulatory') THEN 0.2 ELSE 0 END, 1) AS breadth FROM x)
-SELECT id, round(novelty, 5) AS novelty, round(credibility, 5) AS credibility, round(breadth, 5) AS breadth, round(least(greatest(0.25::DOUBLE * novelty + 0.2::DOUBLE * burst + 0.25::DOUBLE * credibility + 0.15::DOUBLE * breadth, 0), 1), 5) AS importance FROM y""")
+        least(CASE WHEN names <= 1 THEN 0.1 WHEN names <= 3 THEN 0.3 WHEN names <= 10 THEN 0.6 ELSE 0.9 END::DOUBLE + 0.2::DOUBLE * coalesce(n_sectors / nullif(n_tickers, 0), 0) + CASE WHEN event_type IN ('sanctions', 'regulatory') THEN 0.2 ELSE 0 END, 1) AS breadth,
+        coalesce(price_impact, 0) AS price_impact
+      FROM (SELECT *, len(list_distinct(list_concat(companies, tickers))) AS names FROM x) LEFT JOIN gains USING (id) LEFT JOIN div USING (id) LEFT JOIN imp USING (id))
+SELECT id, round(novelty, 5) AS novelty, round(credibility, 5) AS credibility, round(breadth, 5) AS breadth, round(price_impact + 1e-9, 5) AS price_impact,
+       round(least(greatest(0.25::DOUBLE * novelty + 0.2::DOUBLE * burst + 0.25::DOUBLE * credibility + 0.15::DOUBLE * breadth + 0.15::DOUBLE * price_impact, 0), 1) + 1e-9, 5) AS importance FROM y""")
 def importance_score(v):
-    e = ceg.importance(v.events(), v.news(), v.sources())
-    return e.select("id", *[F.round(c, 5).alias(c) for c in ("novelty", "credibility", "breadth", "importance")])
+    e = ceg.importance(v.events(), v.news(), v.sources(), v.sectors(), v.impacts())
+    return e.select("id", *[F.round(c, 5).alias(c) for c in ("novelty", "credibility", "breadth")], *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("price_impact", "importance")])
 
 
 PAIRS_SQL = """
