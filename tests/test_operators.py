@@ -238,6 +238,40 @@ def test_linking(spark):
     assert got == {"ПАО «Сбербанк России»": "SBER", "Норильский никель ПАО": "GMKN"}
 
 
+def test_names_go_through_the_steps_in_order(spark):
+    """Every name against every security, without the join on heads of words."""
+    from tidewater.functions import udfs
+    from tidewater.plans import views
+
+    v = views.Views(spark, "")
+    clean = {r[0]: r[1] for r in spark.createDataFrame([(x,) for s in views.SECURITIES for x in s[1:3] if x] + [(x,) for x in [*views.ORGANISATIONS, "Яндэкс", "что-то иное"]], "n string").select("n", nlp.T.company_name(F.col("n"))).collect()}
+    clean[None] = ""
+    want = {}
+    for name in [*views.ORGANISATIONS, "Яндэкс", "что-то иное"]:
+        x, found = clean[name], []
+        if x in views.dims.ALIASES:
+            found.append((1, -0.95, views.dims.ALIASES[x], 0.95, "known_alias"))
+        for ticker, title, full, isin, traded, kind, board in views.SECURITIES:
+            points = 50 * (x in title.lower()) + 30 * (x in (full or "").lower()) + 20 * traded + 15 * (kind == "shares") + 10 * (board == "main") + 25 * bool(isin)
+            if points >= 50 and any(w[:3] in {y[:3] for y in f"{clean[title]} {clean[full]}".split()} for w in x.split()):
+                found.append((2, -points, ticker, 0.85, "auto_learned"))
+            ratios = [udfs.name_ratios(x, clean[y]) for y in (title, full)]
+            sim = [0.4 * a + 0.4 * b + 0.2 * c for a, b, c in ratios]
+            near = sim[0] * (1.2 if traded else 1) * (1.1 if board == "main" else 1)
+            if near > 0.7:
+                found.append((3, -near, ticker, min(near, 1.0), "search"))
+            alike = max([s for s, (_, b, _) in zip(sim, ratios, strict=True) if b >= 0.8], default=0)
+            if alike > 0.7:
+                found.append((4, -alike, ticker, 0.9 * alike, "fuzzy"))
+        if found:
+            want[name] = min(found)[2:]
+    names = spark.createDataFrame([(x,) for x in [*views.ORGANISATIONS, "Яндэкс", "что-то иное"]], "name string")
+    got = {r.name: (r.ticker, pytest.approx(r.confidence), r.method) for r in nlp.resolve_names(names, v.aliases(), v.securities()).collect()}
+    assert got == want and {m for *_, m in want.values()} >= {"known_alias", "auto_learned", "search"}
+    cached = spark.createDataFrame([("газпром нефть", "SIBN", 0.8, "old")], "clean string, ticker string, confidence double, method string")
+    assert {r.name: r.ticker for r in nlp.resolve_names(names, v.aliases(), v.securities(), cached=cached).collect()}["Газпром нефть"] == "SIBN"
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, 1, 0.9, "red fox"), (2, 1, 0.1, "red red fox dog"), (3, 2, 0.5, "blue cat")], "id int, parent int, hotness double, text string")
     b = {r.id: r.score for r in search.bm25(docs, "id", "text", ["red"]).collect()}

@@ -1,5 +1,6 @@
 """Text functions, with Cyrillic inputs that the tables don't have."""
 
+import pytest
 import datetime
 
 from pyspark.sql import functions as F
@@ -76,7 +77,12 @@ def test_identifiers_and_similarity(spark):
     assert value(spark, T.market_of(F.lit("moex:SBER"))) == "moex" and value(spark, T.ticker_of(F.lit("moex:SBER"))) == "SBER"
     assert [value(spark, T.provider_of(F.lit(s))) for s in ("BTC/USD", "ETH", "SBER", "AAPL.US")] == ["crypto", "crypto", "exchange", "world"]
     assert value(spark, T.ratio(F.lit("abcd"), F.lit("abcd"))) == 1.0
-    assert value(spark, T.name_similarity(F.lit("bank one"), F.lit("one bank"))) > 0.4
+    from tidewater.functions import udfs
+
+    assert udfs.name_ratios("bank one", "one bank") == (0.5, 1.0, 0.67)
+    assert udfs.name_ratios("роснефть", "нк роснефть") == (pytest.approx(16 / 19), 0.84, 1.0) and udfs.name_ratios("", "a") == (0.0, 0.0, 0.0)
+    got = spark.range(1).select(udfs.name_similarity(F.lit("bank one"), F.lit("one bank")).alias("s")).first().s
+    assert (got.words, got.similarity) == (1.0, pytest.approx(0.4 * 0.5 + 0.4 + 0.2 * 0.67))
     assert value(spark, T.listing_score(F.lit("sber"), F.lit("Sberbank"), F.lit("PJSC Sber"), F.lit("RU1"), F.lit(True), F.lit("shares"), F.lit("main"))) == 150
 
 

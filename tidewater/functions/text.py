@@ -300,13 +300,6 @@ def sorted_tokens(x: Column) -> Column:
     return F.array_join(F.array_sort(tokens(x)), " ")
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """0.4 plain ratio + 0.4 ratio of sorted tokens + 0.2 ratio of the shorter text with the longer one's head."""
-    n = F.least(F.length(a), F.length(b))
-    partial = ratio(F.left(a, n), F.left(b, n))
-    return 0.4 * ratio(a, b) + 0.4 * ratio(sorted_tokens(a), sorted_tokens(b)) + 0.2 * partial
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays; 0 if both are empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))

@@ -4,6 +4,7 @@ the extension points for models and parsers."""
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -73,6 +74,31 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return _vectorised(run, T.DoubleType(), a, b)
 
 
+def name_ratios(a: str, b: str) -> tuple[float, float, float]:
+    """Of two names: the ratio of matching blocks; that of their sorted words; and the best
+    ratio of the shorter one with a part of the other that is as long and lies at a matching
+    block. The last two are rounded to hundredths."""
+    whole = difflib.SequenceMatcher(None, a, b).ratio()
+    x, y = (" ".join(sorted(re.sub(r"\W|_", " ", v.lower()).split())) for v in (a, b))
+    by_words = round(100 * difflib.SequenceMatcher(None, x, y).ratio()) / 100 if x and y else 0.0
+    short, long = sorted((a, b), key=len)
+    part = 0.0
+    for m in difflib.SequenceMatcher(None, short, long).get_matching_blocks() if short else ():
+        start = max(m.b - m.a, 0)
+        part = max(part, difflib.SequenceMatcher(None, short, long[start : start + len(short)]).ratio())
+    return whole, by_words, 1.0 if part > 0.995 else round(100 * part) / 100
+
+
+def name_similarity(a: Column, b: Column) -> Column:
+    """struct<words, similarity>: the ratio of sorted words, and 0.4 ratio + 0.4 ratio of sorted words + 0.2 best part."""
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+        rows = [name_ratios(x or "", y or "") for x, y in zip(xs, ys, strict=True)]
+        return pd.DataFrame({"words": [w for _, w, _ in rows], "similarity": [0.4 * r + 0.4 * w + 0.2 * p for r, w, p in rows]}, dtype="float64")
+
+    return _vectorised(run, T.StructType([T.StructField("words", T.DoubleType()), T.StructField("similarity", T.DoubleType())]), a, b)
+
+
 def first_object(text: str | None) -> str | None:
     """The first balanced {...} of a text; braces in strings don't count."""
     if not text or "{" not in text:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import scores as S
 from tidewater.functions import text as T
+from tidewater.functions import udfs
 from tidewater.plans import dims
-from tidewater.plans.joins import ngram_join
+from tidewater.plans.joins import FIRST_WORDS, ngram_join
 
 
 def _first(pairs: Sequence[tuple[str, list[str]]], x: Column, rest: Column) -> Column:
@@ -118,28 +119,70 @@ def extract_events(news: DataFrame, markers: dict[str, list[str]] | None = None)
     return e.withColumn("is_anchor", anchor)
 
 
-def link_companies(news: DataFrame, aliases: DataFrame, listed: DataFrame, longest: int = 3) -> DataFrame:
-    """(id, ticker, confidence, method): tickers written out (1.0), then aliases of up to
-    `longest` words (0.95); the best of each ticker counts. aliases: alias, ticker; listed: ticker."""
-    words = T.tokens(F.regexp_replace(F.lower("text_plain"), r"(?U)[^\w]+", " "))
-    direct = news.select("id", F.explode(T.ticker_tokens(F.col("text_plain"))).alias("ticker")).join(listed, "ticker", "left_semi").withColumn("confidence", F.lit(1.0)).withColumn("method", F.lit("ticker"))
-    by_name = ngram_join(news, "id", words, aliases, "alias", longest).select("id", "ticker", F.lit(0.95).alias("confidence"), F.lit("alias").alias("method"))
-    best = direct.unionByName(by_name).groupBy("id", "ticker").agg(F.max(F.struct("confidence", "method")).alias("b"))
-    return best.select("id", "ticker", "b.confidence", "b.method")
-
-
-def resolve_names(names: DataFrame, aliases: DataFrame, securities: DataFrame, least: float = 0.7) -> DataFrame:
-    """Organisation names (name) to tickers: aliases first (0.95), then the most similar
-    security (similarity x 0.9). Candidates share a word with the name, so the
-    comparison is an equi-join, not a cross join. securities: ticker, title."""
+def link_companies(news: DataFrame, aliases: DataFrame, listed: DataFrame, longest: int = 3, organisations: DataFrame | None = None) -> DataFrame:
+    """(id, ticker, confidence, method): tickers written out (1.0), then organisations that were
+    recognised, as of resolve_names(), then aliases of up to `longest` words (0.95); the first of
+    these passes that has a ticker counts. aliases: alias, ticker; listed: ticker and what
+    resolve_names() compares; organisations: id, name. Only listed tickers are linked."""
+    words = F.filter(F.split(F.lower("text_plain"), r"(?U)\W+"), lambda w: w != "")
+    tickers = listed.select("ticker").distinct()
+    written, known = T.ticker_tokens(F.col("text_plain")), tickers.limit(FIRST_WORDS + 1).collect()
+    if len(known) <= FIRST_WORDS:  # most words look like tickers once they are in capitals
+        written = F.filter(written, lambda t: t.isin([r.ticker for r in known]))
+    passes = [news.select("id", F.explode(written).alias("ticker")).join(tickers, "ticker", "left_semi").select("id", "ticker", F.lit(1.0).alias("confidence"), F.lit("ticker").alias("method"))]
+    if organisations is not None:
+        passes.append(organisations.join(resolve_names(organisations.select("name"), aliases, listed), "name").select("id", "ticker", "confidence", "method"))
+    by_name = ngram_join(news, "id", words, aliases.join(tickers, "ticker", "left_semi").select("alias", "ticker"), "alias", longest)
+    passes.append(by_name.select("id", "ticker", F.lit(0.95).alias("confidence"), F.lit("alias").alias("method")))
+    out = None
+    for i, found in enumerate(passes):
+        found = found.withColumn("pass", F.lit(i))
+        out = found if out is None else out.unionByName(found)
+    best = out.groupBy("id", "ticker").agg(F.min(F.struct("pass", (-F.col("confidence")).alias("less"), "method")).alias("b"))
+    return best.select("id", "ticker", (-F.col("b.less")).alias("confidence"), "b.method")
+
+
+def resolve_names(names: DataFrame, aliases: DataFrame, securities: DataFrame, least: float = 0.7, cached: DataFrame | None = None) -> DataFrame:
+    """Organisation names (name) to tickers (name, ticker, confidence, method), by the first step that has one:
+    cached (clean, ticker, confidence, method); known_alias (0.95) of a listed ticker; auto_learned (0.85),
+    the security with most points of listing_score(), 50 or more; search, the most similar one, 1.2 times if traded
+    and 1.1 times on the main board, above `least`; fuzzy, sorted words alike to 0.8, 0.9 times its similarity.
+
+    securities: ticker, title, and full, isin, traded, kind, board if known. Candidates share the first three
+    letters of a word with the name, so the comparison is an equi-join, not a cross join; points go to candidates only.
+    """
+    have = securities.columns
     n = names.select("name", T.company_name(F.col("name")).alias("clean")).distinct()
-    exact = n.join(aliases, F.col("clean") == F.col("alias")).select("name", "ticker", F.lit(0.95).alias("confidence"), F.lit("alias").alias("method"))
-    s = securities.select(F.col("ticker").alias("t"), T.company_name(F.col("title")).alias("other"))
-    left = n.join(exact.select(F.col("name").alias("_n")), F.col("name") == F.col("_n"), "left_anti").withColumn("w", F.explode(F.array_distinct(F.split("clean", " "))))
-    pairs = left.join(s.withColumn("w", F.explode(F.array_distinct(F.split("other", " ")))), "w").select("name", "clean", "t", "other").distinct()
-    scored = pairs.withColumn("sim", T.name_similarity(F.col("clean"), F.col("other"))).filter(F.col("sim") >= least)
-    best = scored.groupBy("name").agg(F.max(F.struct("sim", "t")).alias("b"))
-    return exact.unionByName(best.select("name", F.col("b.t").alias("ticker"), (F.col("b.sim") * 0.9).alias("confidence"), F.lit("similar").alias("method")))
+    tickers = securities.select("ticker").distinct()
+    exact = n.join(aliases.join(tickers, "ticker", "left_semi"), F.col("clean") == F.col("alias"))
+    steps = [exact.select("name", F.lit(1).alias("step"), F.lit(0.95).alias("score"), "ticker", F.lit(0.95).alias("confidence"), F.lit("known_alias").alias("method"))]
+    if cached is not None:
+        steps.append(n.join(cached, "clean").select("name", F.lit(0).alias("step"), F.lit(1.0).alias("score"), "ticker", "confidence", "method"))
+    column = lambda c, default: F.col(c) if c in have else F.lit(default)
+    s = securities.select(
+        "ticker", "title", column("full", None).cast("string").alias("full"), column("isin", None).cast("string").alias("isin"), column("traded", False).alias("traded"),
+        column("kind", None).cast("string").alias("kind"), column("board", None).cast("string").alias("board"),
+    ).withColumns({"short_name": T.company_name(F.col("title")), "full_name": T.company_name(F.coalesce("full", F.lit("")))})
+    heads = lambda x: F.explode(F.array_distinct(F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.left(w, F.lit(3)))))
+    done = steps[0].select("name") if cached is None else steps[0].select("name").unionByName(steps[1].select("name"))
+    left = n.join(done.distinct(), "name", "left_anti").withColumn("w", heads(F.col("clean")))
+    pairs = left.join(s.withColumn("w", heads(F.concat_ws(" ", "short_name", "full_name"))), "w").drop("w").distinct()
+    points = T.listing_score(F.col("clean"), F.col("title"), F.col("full"), F.col("isin"), F.col("traded"), F.col("kind"), F.col("board"))
+    pairs = pairs.withColumn("points", points).withColumns({"a": udfs.name_similarity(F.col("clean"), F.col("short_name")), "b": udfs.name_similarity(F.col("clean"), F.col("full_name"))})
+    boost = F.when(F.col("traded"), 1.2).otherwise(1.0) * F.when(F.col("board") == "main", 1.1).otherwise(1.0)
+    found = F.col("a.similarity") * boost
+    alike = F.greatest(*[F.when(F.col(f"{x}.words") >= 0.8, F.col(f"{x}.similarity")).otherwise(0.0) for x in "ab"])
+    row = lambda step, ok, score, confidence, method: pairs.filter(ok).select("name", F.lit(step).alias("step"), score.cast("double").alias("score"), "ticker", confidence.alias("confidence"), F.lit(method).alias("method"))
+    steps += [
+        row(2, F.col("points") >= 50, F.col("points"), F.lit(0.85), "auto_learned"),
+        row(3, found > least, found, F.least(found, F.lit(1.0)), "search"),
+        row(4, alike > least, alike, alike * 0.9, "fuzzy"),
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = out.unionByName(step)
+    best = out.groupBy("name").agg(F.min(F.struct("step", (-F.col("score")).alias("less"), "ticker", "confidence", "method")).alias("b"))
+    return best.select("name", "b.ticker", "b.confidence", "b.method")
 
 
 def resolve_spans(spans: Column) -> Column:

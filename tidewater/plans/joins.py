@@ -64,19 +64,22 @@ def asof_join(
     return got.select("_row.*", F.col("_v.t").alias(f"{right_ts}_matched"), *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
+#: First words of a dictionary up to which they are looked for inside each row.
+FIRST_WORDS = 1000
+
+
 def ngram_join(texts: DataFrame, id_col: str, tokens: Column, dictionary: DataFrame, phrase: str, longest: int) -> DataFrame:
     """(id, columns of dictionary, first position): phrases of a dictionary that occur
-    as whole tokens. Tokens become n-grams of 1 to `longest` words and meet the
-    dictionary in one hash join, whatever its size."""
+    as whole tokens. N-grams of 1 to `longest` words meet the dictionary in one hash
+    join, whatever its size; if its phrases start with at most FIRST_WORDS words, only
+    the n-grams that start with one are made."""
     words = texts.select(F.col(id_col).alias("_id"), tokens.alias("_w"))
+    heads = dictionary.select(F.split(phrase, " ")[0].alias("h")).distinct().limit(FIRST_WORDS + 1).collect()
+    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(1), F.size("_w"))).otherwise(F.array().cast("array<int>"))
+    if len(heads) <= FIRST_WORDS:
+        starts = F.filter(starts, lambda i: F.element_at("_w", i).isin([r.h for r in heads]))
     grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(longest)),
-            lambda n: F.transform(
-                F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda i: F.struct(F.array_join(F.slice("_w", i, n), " ").alias("g"), i.alias("i")),
-            ),
-        )
+        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w") - i + 1)), lambda n: F.struct(F.array_join(F.slice("_w", i, n), " ").alias("g"), i.alias("i"))))
     )
     found = words.select("_id", F.explode(grams).alias("x")).select("_id", F.col("x.g").alias("_g"), F.col("x.i").alias("_i"))
     hit = found.join(dictionary, F.col("_g") == F.col(phrase))

@@ -15,6 +15,13 @@ from tidewater.session import spread
 
 TYPES = {"error": "sanctions", "click": "earnings_miss", "view": "regulatory", "purchase": "m&a", "signup": "rate_hike"}
 START = 1704067200
+TICKERS = ["GAZP", "LKOH", "ZZZZ", "SBER"]
+ORGANISATIONS = ["ПАО Сбербанк России", "Газпром нефть", "Lukoil Holding", "Завод Роснефти", "Роснефь банк"]
+SECURITIES = [
+    ("SBER", "Сбербанк", "ПАО Сбербанк", "RU0009029540", True, "shares", "main"), ("GAZP", "Газпром", "ПАО Газпром", "RU0007661625", True, "shares", "main"),
+    ("LKOH", "Лукойл", "ПАО Лукойл", "RU0009024277", True, "shares", "main"), ("ROSN", "Роснефть", "ПАО Роснефть", None, True, None, None),
+    ("BSPB", "Роснефть банк", None, None, False, None, None), ("YNDX", "Яндекс", "Яндекс НВ", "NL0009805522", False, "shares", None),
+]
 
 
 def mentions(head: str, who: tuple, base: int, k) -> Column:
@@ -44,6 +51,22 @@ class Views:
             (F.lit(START) + F.col("doc_id") * 420).alias("pub"), F.sha2("text", 256).alias("hash_content"),
         )
 
+    def reports(self) -> DataFrame:
+        """News of all languages whose text ends with a company's alias, a ticker or neither."""
+        names = F.array(*[F.lit(a) for a in sorted(dims.ALIASES)])
+        said = F.when(F.col("id") % 3 == 0, F.element_at(names, (F.col("id") % len(dims.ALIASES) + 1).cast("int"))).when(F.col("id") % 3 == 1, F.element_at(F.array(*[F.lit(t) for t in TICKERS]), (F.col("id") % len(TICKERS) + 1).cast("int"))).otherwise("")
+        return self.news().select("id", F.concat("text_plain", F.lit(" ("), said, F.lit(").")).alias("text_plain"))
+
+    def organisations(self) -> DataFrame:
+        """Organisations that were recognised in every fifth news item."""
+        return self.table("documents").select(F.col("doc_id").alias("id")).filter("id % 5 = 0").select("id", F.element_at(F.array(*[F.lit(x) for x in ORGANISATIONS]), (F.expr("id div 5") % len(ORGANISATIONS) + 1).cast("int")).alias("name"))
+
+    def securities(self) -> DataFrame:
+        return self.spark.createDataFrame(SECURITIES, "ticker string, title string, full string, isin string, traded boolean, kind string, board string")
+
+    def aliases(self) -> DataFrame:
+        return self.spark.createDataFrame(sorted(dims.ALIASES.items()), "alias string, ticker string")
+
     def events(self) -> DataFrame:
         kind = F.lit("other")
         for have, means in TYPES.items():
