@@ -164,20 +164,20 @@ def resolve_names(names: DataFrame, aliases: DataFrame, securities: DataFrame, l
         column("kind", None).cast("string").alias("kind"), column("board", None).cast("string").alias("board"),
     ).withColumns({"short_name": T.company_name(F.col("title")), "full_name": T.company_name(F.coalesce("full", F.lit("")))})
     heads = lambda x: F.explode(F.array_distinct(F.transform(F.filter(F.split(x, " "), lambda w: w != ""), lambda w: F.left(w, F.lit(3)))))
-    done = steps[0].select("name") if cached is None else steps[0].select("name").unionByName(steps[1].select("name"))
-    left = n.join(done.distinct(), "name", "left_anti").withColumn("w", heads(F.col("clean")))
-    pairs = left.join(s.withColumn("w", heads(F.concat_ws(" ", "short_name", "full_name"))), "w").drop("w").distinct()
+    pairs = n.withColumn("w", heads(F.col("clean"))).join(s.withColumn("w", heads(F.concat_ws(" ", "short_name", "full_name"))), "w").drop("w").distinct()
     points = T.listing_score(F.col("clean"), F.col("title"), F.col("full"), F.col("isin"), F.col("traded"), F.col("kind"), F.col("board"))
     pairs = pairs.withColumn("points", points).withColumns({"a": udfs.name_similarity(F.col("clean"), F.col("short_name")), "b": udfs.name_similarity(F.col("clean"), F.col("full_name"))})
     boost = F.when(F.col("traded"), 1.2).otherwise(1.0) * F.when(F.col("board") == "main", 1.1).otherwise(1.0)
     found = F.col("a.similarity") * boost
     alike = F.greatest(*[F.when(F.col(f"{x}.words") >= 0.8, F.col(f"{x}.similarity")).otherwise(0.0) for x in "ab"])
-    row = lambda step, ok, score, confidence, method: pairs.filter(ok).select("name", F.lit(step).alias("step"), score.cast("double").alias("score"), "ticker", confidence.alias("confidence"), F.lit(method).alias("method"))
-    steps += [
+    row = lambda step, ok, score, confidence, method: F.when(ok, F.struct(F.lit(step).alias("step"), score.cast("double").alias("score"), "ticker", confidence.alias("confidence"), F.lit(method).alias("method")))
+    # one row for each candidate and step that takes it, so names are compared once
+    taken = F.array_compact(F.array(
         row(2, F.col("points") >= 50, F.col("points"), F.lit(0.85), "auto_learned"),
         row(3, found > least, found, F.least(found, F.lit(1.0)), "search"),
         row(4, alike > least, alike, alike * 0.9, "fuzzy"),
-    ]
+    ))
+    steps.append(pairs.select("name", F.explode(taken).alias("x")).select("name", "x.*"))
     out = steps[0]
     for step in steps[1:]:
         out = out.unionByName(step)
