@@ -4,13 +4,15 @@ import datetime
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import queries
 from tidewater.operators import analytics as A
 from tidewater.operators import ceg, graph, ingest, market, nlp, search, watch
-from tidewater.plans.joins import asof_join, interval_join, near_window, ngram_join
+from tidewater.plans.joins import asof_join, interval_join, near_sums, near_window, ngram_join
 from tidewater.sources import files
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -344,3 +346,27 @@ def test_shared_folder(spark, tmp_path):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("spark://a:7077"))
     assert stored(spark.range(3)).count() == 3
+
+
+def test_near_sums_equal_counting(spark):
+    rng = random.Random(18)
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice([None, *range(0, 500, 3)]) if i % 9 == 0 else rng.randint(-200, 500), rng.choice([0, 1, 5, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, k string, us long, v int")
+    spans = {"a": (50, 0), "b": (10, 0), "c": (50, -1), "d": (30, 70), "e": (-1, 40), "f": (-20, 40)}
+    sums = near_sums(df, ["k"], "us", {n: (*s, F.col("v")) for n, s in spans.items()})
+    assert sums.columns == [*df.columns, *spans]
+    got = {r.id: r for r in sums.collect()}
+    assert len(got) == len(rows)
+    for i, k, u, v in rows:
+        for n, (back, ahead) in spans.items():
+            near = [x for _, k2, u2, x in rows if k2 == k and (u2 is None if u is None else u2 is not None and u - back <= u2 <= u + ahead)]
+            assert got[i][n] == sum(x or 0 for x in near), (i, n)
+        assert (got[i].k, got[i].us, got[i].v) == (k, u, v)
+
+
+@pytest.mark.parametrize("name", ["event_burst"])
+def test_no_frame_is_read_for_every_row(spark, sf_dir, name):
+    """A sliding frame costs its rows for each row: with the square of a busy day."""
+    plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((.*?)\)", plan)
+    assert frames and all("unboundedpreceding" in f for f in frames)

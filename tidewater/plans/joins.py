@@ -102,3 +102,42 @@ def near_window(df: DataFrame, keys: list[str], us: str, back: int, ahead: int,
     for name, of in columns.items():
         lent = lent.withColumn(name, of(w))
     return lent.filter("_shift = 0").drop("_shift", "_cell")
+
+
+def near_sums(df: DataFrame, keys: list[str], us: str, columns: dict[str, tuple[int, int, Column]]) -> DataFrame:
+    """df with sums of whole numbers over the rows of the same keys in a range of time.
+
+    columns: name -> (back, ahead, value): the sum of value over [us - back, us + ahead]
+    microseconds; a negative bound ends the range before the row or begins it after. What
+    near_window() gives, but a sliding frame is read anew for every row, so it costs the
+    rows of a frame for each row. Here a row's value is added where ranges begin to hold
+    it and taken off where they end to, and one running sum over both is read at the row:
+    a few narrow rows for each row, however many a range has. Windows go by (keys, cell of
+    time); what holds at the start of a cell is lent to it.
+    """
+    spans = list(dict.fromkeys((back, ahead) for back, ahead, _ in columns.values()))
+    width = 2 * max(back + ahead + 1 for back, ahead in spans)
+    t = F.col(us)
+    cell = lambda x: F.floor(x / F.lit(width)).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def mark(at: Column, when: Column, sign: int, own: set) -> Column:
+        """Values of the ranges in `own`, and of no other; None in own: the row itself."""
+        values = [(F.coalesce(v.cast("long"), zero) * sign if (b, a) in own else zero).alias(f"_v{i}") for i, (b, a, v) in enumerate(columns.values())]
+        return F.struct(at.alias("_cell"), when.alias("_t"), F.lit(None in own).alias("_own"), *values)
+
+    at_row = {s for s in spans if s[1] == 0}  # these begin to hold a row at its own time
+    marks = [F.when(t.isNotNull(), mark(cell(t), t, 1, at_row | {None})).otherwise(mark(cell(t), t, 1, set(spans) | {None}))]
+    for s in spans:
+        back, ahead = s
+        begin, end = t - ahead, t + back + 1
+        if s not in at_row:
+            marks.append(F.when(t.isNotNull(), mark(cell(begin), begin, 1, {s})))
+        marks.append(F.when(t.isNotNull(), mark(cell(end), end, -1, {s})))
+        marks.append(F.when(cell(begin) < cell(end), mark(cell(end), cell(end) * width, 1, {s})))
+    dealt = df.withColumn("_m", F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())))
+    rest = [c for c in df.columns if c not in keys]
+    dealt = dealt.select(*keys, "_m.*", *[F.when(F.col("_m._own"), F.col(c)).alias(c) for c in rest])
+    w = Window.partitionBy(*keys, "_cell").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = dealt.withColumns({name: F.sum(f"_v{i}").over(w) for i, name in enumerate(columns)})
+    return sums.filter("_own").select(*df.columns, *columns)
