@@ -364,7 +364,7 @@ def test_near_sums_equal_counting(spark):
         assert (got[i].k, got[i].us, got[i].v) == (k, u, v)
 
 
-@pytest.mark.parametrize("name", ["event_burst", "l0_watches", "source_corroboration"])
+@pytest.mark.parametrize("name", ["event_burst", "l0_watches", "source_corroboration", "novelty_counts"])
 def test_no_frame_is_read_for_every_row(spark, sf_dir, name):
     """A sliding frame costs its rows for each row: with the square of a busy day."""
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
