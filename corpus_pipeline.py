@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word Jaccard of 0.8 or more the document with the smallest doc_id stays."""
-    return minhash.one_of_each(docs, words=5, least=0.8)
+    """Of each group linked by SimHash fingerprints within two bits, or by a five-word Jaccard of 0.8 or more, the document with the smallest doc_id stays."""
+    return minhash.one_of_each(docs, words=5, least=0.8, radius=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from test_posindex import brute as leaks_of
 from test_simhash import brute_components
 
 import corpus_pipeline
-from tidewater.llm import bpe
+from tidewater.llm import bpe, minhash, simhash
 
 
 def write(spark, tmp_path):
@@ -67,3 +67,28 @@ def test_empty_documents(spark, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tmp_path}/full/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_dedup_follows_simhash_and_jaccard_links(spark):
+    """a and b: fingerprints within two bits, Jaccard under 0.8; b and c: Jaccard over 0.8, fingerprints further apart."""
+    bits = lambda x, y: bin(simhash.fingerprint(x.encode()) ^ simhash.fingerprint(y.encode())).count("1")
+    sets = lambda x: set(minhash.shingles(x.encode()).tolist())
+    same = lambda x, y: len(sets(x) & sets(y)) / len(sets(x) | sets(y))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    phrase = [word() for _ in range(13)]
+    b = phrase * 40 + [word() for _ in range(12)]
+    a = phrase * 38 + [word() for _ in range(12)]
+    texts = {10: " ".join(b), 5: " ".join(a)}
+    assert bits(texts[5], texts[10]) <= 2 and same(texts[5], texts[10]) < 0.8
+    long = [word() for _ in range(150)]
+    for _ in range(200):
+        changed = list(long)
+        for at in (20, 90):
+            changed[at] = word()
+        if bits(" ".join(long), " ".join(changed)) > 2:
+            break
+    texts |= {20: " ".join(long), 21: " ".join(changed), 30: " ".join(word() for _ in range(90))}
+    assert bits(texts[20], texts[21]) > 2 and same(texts[20], texts[21]) >= 0.8
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [5, 20, 30]

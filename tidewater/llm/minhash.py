@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import bit_map, map_arrow, probe, stored, text_chunks
-from tidewater.llm.simhash import components, keep_first
+from tidewater.llm.simhash import components, fingerprint, keep_first
+from tidewater.llm.simhash import links as fingerprints_within
 
 #: Bands of a signature and MinHash values in each.
 BANDS = 28
@@ -63,16 +64,19 @@ def _digest(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, digest, bands), one row per row of docs."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, simhash: bool = False) -> DataFrame:
+    """(id, digest, bands), one row per row of docs; with `simhash` also `fp`, as of simhash.fingerprints()."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text"):
-            keys = [bands(shingles(t, words)) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("digest"), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "bands"])
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            out = {"id": part.column("id"), "digest": part.column("digest"), "bands": pa.array([bands(shingles(t, words)) for t in texts], pa.list_(pa.int64()))}
+            if simhash:
+                out["fp"] = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     slim = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return map_arrow(slim, run, f"id {kind}, digest string, bands array<long>")
+    return map_arrow(slim, run, f"id {kind}, digest string, bands array<long>" + ", fp long" * simhash)
 
 
 def cell_links(sets: list[np.ndarray], nodes: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -158,12 +162,26 @@ def links(classes: DataFrame, docs: DataFrame, text_col: str = "text", words: in
     return map_arrow(cells, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(id, component): every row of docs with the smallest id that it is linked to."""
-    rows = stored(signatures(docs, id_col, text_col, words), "signatures")
-    classes = rows.groupBy("digest").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = components(links(classes, docs, text_col, words, least)).withColumnRenamed("root", "_root")
+def fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
+    """(a, b): edges between nodes of classes (node, fp) whose components are those of the SimHash links."""
+    first = stored(classes.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
+    equal = classes.join(first, "fp").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    node = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+    near = fingerprints_within(first.select("fp"), radius).join(node("a"), "a").join(node("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int | None = None) -> DataFrame:
+    """(id, component): every row of docs with the smallest id that it is linked to.
+
+    With a radius the SimHash links of op5, fingerprints within so many bits, count too."""
+    rows = stored(signatures(docs, id_col, text_col, words, radius is not None), "signatures")
+    found = [F.min("id").alias("least"), F.first("bands").alias("bands")] + ([F.first("fp").alias("fp")] if radius is not None else [])
+    classes = stored(rows.groupBy("digest").agg(*found).withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges = links(classes, docs, text_col, words, least)
+    if radius is not None:
+        edges = edges.unionByName(fingerprint_links(classes, radius))
+    roots = components(edges).withColumnRenamed("root", "_root")
     rooted = classes.select("digest", "least", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left")
     rooted = rooted.select("digest", "least", F.coalesce("_root", "own").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -171,6 +189,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its component, as simhash.keep_first() says."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, least), id_col, text_col)
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, least, radius), id_col, text_col)
