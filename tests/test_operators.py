@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -364,9 +365,56 @@ def test_near_sums_equal_counting(spark):
         assert (got[i].k, got[i].us, got[i].v) == (k, u, v)
 
 
-@pytest.mark.parametrize("name", ["event_burst", "l0_watches", "source_corroboration", "novelty_counts"])
+@pytest.mark.parametrize("name", ["event_burst", "l0_watches", "source_corroboration", "novelty_counts", "importance_score"])
 def test_no_frame_is_read_for_every_row(spark, sf_dir, name):
     """A sliding frame costs its rows for each row: with the square of a busy day."""
     plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     frames = re.findall(r"specifiedwindowframe\((.*?)\)", plan)
     assert frames and all("unboundedpreceding" in f for f in frames)
+
+
+def _prices(spark):
+    rng = random.Random(4)
+    rows = [(s, datetime.date(2024, 1, 1) + datetime.timedelta(d), 7.1 if s == 3 or (s == 4 and d < 20) else rng.choice([None, round(rng.uniform(1, 9), 3)]) if s == 5 else round(1e5 + rng.uniform(0, 9), 6)) for s in range(12) for d in range(40) if rng.random() < 0.7]
+    rows += [(2, datetime.date(2024, 1, 3), 5.5), (6, datetime.date(2024, 1, 3), float("nan"))]
+    return spark.createDataFrame(rows, "secid long, day date, close double")
+
+
+def _by_rows(prices, least=10):
+    """The pairs as rows that meet on a day."""
+    rows, met = [tuple(r) for r in prices.collect()], {}
+    for a, d, x in rows:
+        for b, e, y in rows:
+            if a < b and d == e:
+                met.setdefault((a, b), []).append((x, y))
+    out = {}
+    for k, v in met.items():
+        both = [(x, y) for x, y in v if x is not None and y is not None]
+        xs, ys = zip(*both, strict=True) if both else ((), ())
+        plain = both and not any(map(math.isnan, xs + ys)) and len(set(xs)) > 1 and len(set(ys)) > 1
+        if len(v) >= least:
+            out[k] = len(v), statistics.correlation(xs, ys) if plain else 0.0
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 100])
+def test_correlations_equal_rows_met_by_day(spark, monkeypatch, block):
+    monkeypatch.setattr(market, "BLOCK", block)
+    prices = _prices(spark)
+    got = {(r.a, r.b): (r.n, r.rho) for r in market.correlations(prices).collect()}
+    want = _by_rows(prices)
+    assert got.keys() == want.keys() and len(want) == 66
+    for k, (n, rho) in want.items():
+        assert got[k][0] == n and abs(got[k][1] - rho) < 1e-6, k
+
+
+def test_pairs_of_securities_are_not_made_of_days(spark, sf_dir):
+    for name in ("pair_correlation",):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "corr(" not in plan and not re.search(r"Join Inner, .*day", plan)
+
+
+def test_correlation_in_groups(spark):
+    groups = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(12)] + [(0, "a"), (1, "a")], "secid long, sector string")
+    all_pairs = market.group_correlation(market.correlations(_prices(spark)), groups, "secid", "sector")
+    assert sorted(market.correlation_in_groups(_prices(spark), groups, "secid", "sector").collect()) == sorted(all_pairs.collect())
