@@ -418,3 +418,12 @@ def test_correlation_in_groups(spark):
     groups = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(12)] + [(0, "a"), (1, "a")], "secid long, sector string")
     all_pairs = market.group_correlation(market.correlations(_prices(spark)), groups, "secid", "sector")
     assert sorted(market.correlation_in_groups(_prices(spark), groups, "secid", "sector").collect()) == sorted(all_pairs.collect())
+
+
+def test_totals_of_pairs_without_making_them(spark, sf_dir):
+    """The totals of causal_pairs(), by counting each cause's effects."""
+    events = queries.Views(spark, sf_dir).events()
+    pairs = ceg.causal_pairs(events, ["ticker"]).agg(F.count(F.lit(1)), F.countDistinct("cause_id"), F.round(F.sum("conf_total"), 3)).first()
+    got = queries.QUERIES["event_graph_totals"](spark, sf_dir)
+    assert tuple(got.first()) == tuple(pairs)
+    assert "effect_id" not in got._jdf.queryExecution().analyzed().toString()
