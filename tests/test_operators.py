@@ -427,3 +427,14 @@ def test_totals_of_pairs_without_making_them(spark, sf_dir):
     got = queries.QUERIES["event_graph_totals"](spark, sf_dir)
     assert tuple(got.first()) == tuple(pairs)
     assert "effect_id" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_recipients_meet_news_as_groups(spark, sf_dir):
+    """Users of the same subjects are met with a news item once: the result's rows aren't made distinct."""
+    links = spark.createDataFrame([(1, "A"), (1, "B"), (1, "A"), (2, "B"), (2, None), (None, "A"), (3, "C")], "id long, subject string")
+    rows = [("u", "A"), ("u", "B"), ("v", "B"), ("v", "A"), ("v", "A"), ("w", "B"), ("x", None), (None, "A"), ("y", "D")]
+    got = ingest.recipients(links, spark.createDataFrame(rows, "user string, subject string")).collect()
+    want = {(i, u) for i, s in [tuple(r) for r in links.collect()] for u, t in rows if s is not None and s == t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    plan = queries.QUERIES["notified_users"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[id#\d+L?, user#\d+L?\]", plan)
