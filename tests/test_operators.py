@@ -438,3 +438,34 @@ def test_recipients_meet_news_as_groups(spark, sf_dir):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     plan = queries.QUERIES["notified_users"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"Aggregate \[id#\d+L?, user#\d+L?\]", plan)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_dense_vectors_equal_their_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BLOCK", block)
+    monkeypatch.setattr(graph, "STRIP", 3)
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), [rng.uniform(-1, 1) for _ in range(5)]) for i in rng.sample(range(900), 60)]
+    rows += [(1000 + i, "a", rows[0][2]) for i in range(9)] + [(2000, "a", [0.0] * 5), (2001, "b", [1.0, 0.0]), (2002, "b", [2.0, 0.0]), (2003, "b", [None, 1.0]), (2004, None, [1.0]), (2005, "b", None), (2006, "c", [1.0])]
+    # exactly at the limit is not near
+    rows += [(3000, "d", [1.0, 0.0]), (3001, "d", [3.0, 4.0]), (3002, "d", [0.6, 0.8])]
+    vectors = spark.createDataFrame(rows, "id long, label string, v array<double>")
+    for cosine, least in ((0.6, 2), (0.8, 3)):
+        want = graph.dense_points(search.near_vectors(vectors, "id", "v", "label", cosine), least).collect()
+        got = graph.dense_vectors(vectors, "id", "v", "label", cosine, least).collect()
+        assert sorted(got) == sorted(want) and len(want) > 10
+
+
+def test_density_clusters_make_no_pairs(spark, sf_dir):
+    table = queries.Views(spark, sf_dir).table("embeddings")
+    want = graph.dense_points(search.near_vectors(table, "vec_id", "embedding", "label", 0.3), 3).collect()
+    assert sorted(queries.QUERIES["density_clusters"](spark, sf_dir).collect()) == sorted(want)
+    copies = table.limit(5).withColumn("vec_id", F.col("vec_id") * 300).withColumn("vec_id", F.explode(F.sequence(F.col("vec_id"), F.col("vec_id") + 299)))
+    made = []
+    real = graph.stored
+    graph.stored = lambda df, name="table": made.append(out := real(df, name)) or out
+    try:
+        assert graph.dense_vectors(copies, "vec_id", "embedding", "label", 0.3, 3).count() == 1500
+    finally:
+        graph.stored = real
+    assert max(t.count() for t in made) <= 3000  # 1500 vectors; their pairs are 224250 and more

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as T
 from tidewater.operators.analytics import top_per_key
-from tidewater.session import stored
+from tidewater.session import ship_package, stored
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -149,7 +151,110 @@ def dense_points(pairs: DataFrame, least: int = 2) -> DataFrame:
     both = stored(symmetric(pairs.select("src", "dst")).distinct())
     cores = stored(both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") + 1 >= least).select(F.col("src").alias("core")))
     inner = both.join(cores, F.col("src") == F.col("core"), "left_semi").join(cores, F.col("dst") == F.col("core"), "left_semi")
+    return _labels(cores, inner, both.join(cores, F.col("src") == F.col("core"), "left_anti"))
+
+
+def _labels(cores: DataFrame, inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """DBSCAN labels from cores, links between cores that join their clusters, and links (src, dst)
+    from other points; those to no core are left out."""
     own = cores.select(F.col("core").alias("node"), F.col("core").alias("self"))
     labelled = own.join(clusters(inner), "node", "left").select("node", F.coalesce("cluster", "self").alias("cluster"))
-    edge = both.join(cores, F.col("src") == F.col("core"), "left_anti").join(labelled, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("cluster").alias("cluster"))
+    edge = outer.join(labelled, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("node")).agg(F.min("cluster").alias("cluster"))
     return labelled.unionByName(edge)
+
+
+#: Vectors of a block of one cell, and rows of it that are compared at once.
+BLOCK, STRIP = 4096, 256
+
+
+def _units(rows: pa.Table) -> np.ndarray:
+    """Vectors over their length, added up in the order of their numbers."""
+    x = rows.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(rows.num_rows, -1)
+    total = np.zeros(len(x))
+    for column in x.T:
+        total += column * column
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt(total)[:, None]
+
+
+def _near(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Where the cosine exceeds `least`. Products of matrices add in an order of their own, so
+    what lies within their error is added up again as above."""
+    with np.errstate(invalid="ignore"):
+        dot = x @ y.T
+        near = ~(dot <= least)  # NaN is above all, as in SQL
+        r, c = np.nonzero(np.abs(dot - least) < 1e-9)
+    total = np.zeros(len(r))
+    for d in range(x.shape[1] if len(r) else 0):
+        total += x[r, d] * y[c, d]
+    near[r, c] = total > least
+    return near
+
+
+def _strips(rows: pa.Table, least: float):
+    """(numbers of rows, numbers of others, near) of one cell in strips; a block against itself too, without the row itself."""
+    i, j, chunk, x = rows.column("_i")[0].as_py(), rows.column("_j")[0].as_py(), rows.column("_chunk").to_numpy(), _units(rows)
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    for k in range(0, len(left), STRIP):
+        some = left[k : k + STRIP]
+        near = _near(x[some], x[right], least) if len(right) else np.zeros((len(some), 0), bool)
+        yield some, right, near & (some[:, None] != right[None, :])
+
+
+def _degrees(rows: pa.Table, least: float, schema: pa.Schema) -> pa.Table:
+    """Neighbours of each row of a cell."""
+    n, same = np.zeros(rows.num_rows, np.int64), rows.column("_i")[0] == rows.column("_j")[0]
+    for some, right, near in _strips(rows, least):
+        n[some] += near.sum(axis=1)
+        if not same:
+            n[right] += near.sum(axis=0)
+    return pa.Table.from_arrays([rows.column("id").combine_chunks(), pa.array(n)], schema=schema).filter(pa.array(n > 0))
+
+
+def _links(rows: pa.Table, least: float, schema: pa.Schema) -> pa.Table:
+    """A spanning forest of a cell's links between cores, and all links from other points to cores."""
+    core = rows.column("core").to_numpy(zero_copy_only=False)
+    label, out = np.arange(rows.num_rows), []
+    for some, right, near in _strips(rows, least):
+        for r, row in zip(some, near, strict=True):
+            met = right[row]
+            if core[r]:
+                out += [(x, r) for x in met[~core[met]]]
+                trees = np.unique(label[np.append(met[core[met]], r)])
+                if len(trees) > 1:
+                    out += [(trees[0], t) for t in trees[1:]]
+                    label[np.isin(label, trees)] = trees[0]
+            else:
+                out += [(r, x) for x in met[core[met]]]
+    src, dst = np.array(out, np.int64).reshape(-1, 2).T
+    ids = rows.column("id").combine_chunks()
+    return pa.Table.from_arrays([ids.take(pa.array(src)), ids.take(pa.array(dst)), pa.array(core[src])], schema=schema)
+
+
+def dense_vectors(vectors: DataFrame, id_col: str, vector: str, block: str, cosine: float, least: int = 2) -> DataFrame:
+    """dense_points() of vectors of one block whose cosine exceeds `cosine`, without their pairs.
+    An id has one vector; of other lengths than another it is not near it.
+
+    Blocks are cut into chunks, and two chunks meet in a cell as matrices. A first run counts
+    neighbours; a second gives each cell's forest between cores, and the links of points that
+    are none, of which each has fewer than `least`. So a large group of copies costs its
+    comparisons, and rows only as many as its vectors in each cell."""
+    v = vectors.select(F.col(id_col).alias("id"), F.col(block).alias("b"), F.col(vector).alias("v")).filter("id is not null and b is not null and forall(v, x -> x is not null)")
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    v = v.filter(length > 0).distinct().withColumn("_size", F.size("v"))
+    sizes = v.groupBy("b", "_size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_chunks"))
+    chunked = stored(v.join(sizes, ["b", "_size"]).withColumn("_chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")))
+    kind = chunked.schema["id"].dataType
+    ids = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
+    ship_package(vectors.sparkSession)
+
+    def in_cells(rows: DataFrame, work, names: str, schema: pa.Schema) -> DataFrame:
+        other = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        cells = other.withColumns({"_i": F.least("_chunk", "_other"), "_j": F.greatest("_chunk", "_other")}).drop("_other", "_chunks")
+        return stored(cells.groupBy("b", "_size", "_i", "_j").applyInArrow(lambda t: work(t, cosine, schema), names))
+
+    plain = kind.simpleString()
+    met = in_cells(chunked, _degrees, f"id {plain}, n long", pa.schema([("id", ids), ("n", pa.int64())]))
+    known = stored(met.groupBy("id").agg((F.sum("n") + 1 >= least).alias("core")))
+    links = in_cells(chunked.join(known, "id"), _links, f"src {plain}, dst {plain}, inner boolean", pa.schema([("src", ids), ("dst", ids), ("inner", pa.bool_())]))
+    return _labels(known.filter("core").select(F.col("id").alias("core")), links.filter("inner"), links.filter("not inner"))
