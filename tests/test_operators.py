@@ -469,3 +469,15 @@ def test_density_clusters_make_no_pairs(spark, sf_dir):
     finally:
         graph.stored = real
     assert max(t.count() for t in made) <= 3000  # 1500 vectors; their pairs are 224250 and more
+
+
+def test_only_events_of_watched_types_are_counted(spark, sf_dir):
+    rules = watch.rules_table(spark, "L0")
+    events = queries.Views(spark, sf_dir).events()
+    events = events.unionByName(events.limit(3).withColumns({"id": -F.col("id") - 1, "event_type": F.lit("other")}))
+    every = {r.id: r.n24 for r in ceg.bursts(events).collect()}
+    got = watch.counted(events, rules).select("id", "n24", "event_type").collect()
+    assert len(got) == len(every) - 3 and all(every[r.id] == r.n24 for r in got)
+    # no running sum of six hours, which no rule asks for
+    plan = queries.QUERIES["l0_watches"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "21600000001" not in plan and "leftsemi" in plan.lower(), plan

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scores as S
 from tidewater.operators.analytics import top_per_key
 from tidewater.plans import dims
-from tidewater.plans.joins import asof_join
+from tidewater.plans.joins import asof_join, near_sums
 
 
 def rules_table(spark, level: str | None = None, rules=None) -> DataFrame:
@@ -21,6 +21,13 @@ def _listed(wanted: Column, have: Column) -> Column:
     return (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(wanted, have), F.lit(False))
 
 
+def counted(events: DataFrame, rules: DataFrame, hours: int = 24) -> DataFrame:
+    """Events of the types that rules name, with `n24`, the events of the type in the hours up to each."""
+    types = rules.select(F.explode("types").alias("_type")).distinct()
+    asked = events.join(F.broadcast(types), F.col("event_type") == F.col("_type"), "left_semi")
+    return near_sums(asked, ["event_type"], "us", {"n24": (hours * 3_600_000_000, 0, F.lit(1))})
+
+
 def watches(events: DataFrame, rules: DataFrame, ask_burst: bool = True, ask_sectors: bool = True) -> DataFrame:
     """(rule_id, level, event_id, triggered, expires): events (id, us, event_type, importance,
     n24, companies, sectors) that meet a rule; each pair once. Events meet rules by type."""
