@@ -481,3 +481,18 @@ def test_only_events_of_watched_types_are_counted(spark, sf_dir):
     # no running sum of six hours, which no rule asks for
     plan = queries.QUERIES["l0_watches"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "21600000001" not in plan and "leftsemi" in plan.lower(), plan
+
+
+def test_importance_is_added_up_by_event_alone(spark, sf_dir):
+    """Tickers, sectors and impacts of an event meet in one row of it: no window, no join by (id, ticker)."""
+    plan = queries.QUERIES["importance_score"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "Expand" not in plan and not re.search(r"Join LeftOuter, \(\(id#\d+L? = [^)]*\) AND", plan)
+    events = spark.createDataFrame([(1, ts(0), 0, "m&a", "A", "C", ["A", "B", "D"], 1, True), (2, ts(9), 9000000, "m&a", None, "C", [], 1, True)], "id long, ts timestamp, us long, event_type string, ticker string, company string, tickers array<string>, news_id long, is_anchor boolean")
+    news = spark.createDataFrame([(1, "s")], "id long, source string")
+    sources = spark.createDataFrame([("s", "html", 5)], "code string, kind string, trust_level int")
+    sectors = spark.createDataFrame([("A", "x"), ("A", "y"), ("A", "y"), ("B", "x"), ("B", None)], "ticker string, sector string")
+    impacts = spark.createDataFrame([(1, "A", 0.001, 2.0), (1, "A", 0.002, None), (1, "B", None, None), (2, "A", 0.1, 1.0)], "event_id long, ticker string, price_impact double, volume_impact double")
+    got = {r.id: r for r in ceg.importance(events, news, sources, sectors, impacts).collect()}
+    assert got[1].n_sectors == 2 and got[1].n_tickers == 3 and got[1].gains == pytest.approx(0.9)
+    assert got[1].mean_impact == pytest.approx(got[1].most_impact / 2) and got[1].most_impact == pytest.approx(0.14)
+    assert got[2].gains is None and got[2].price_impact == 0.0 and got[2].n_tickers is None
