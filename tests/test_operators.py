@@ -496,3 +496,19 @@ def test_importance_is_added_up_by_event_alone(spark, sf_dir):
     assert got[1].n_sectors == 2 and got[1].n_tickers == 3 and got[1].gains == pytest.approx(0.9)
     assert got[1].mean_impact == pytest.approx(got[1].most_impact / 2) and got[1].most_impact == pytest.approx(0.14)
     assert got[2].gains is None and got[2].price_impact == 0.0 and got[2].n_tickers is None
+
+
+def test_evidence_of_pairs_moves_no_pairs(spark, sf_dir):
+    rng = random.Random(8)
+    rows = [(i, ts(rng.randrange(0, 3 * 86400, 3600)), rng.choice(["sanctions", "other"]), rng.choice("AB")) for i in rng.sample(range(500), 120)]
+    e = spark.createDataFrame(rows, "id long, ts timestamp, event_type string, ticker string")
+    got = ceg.between(ceg.causal_pairs(e, ["ticker"], causes=ceg.following(e, ["ticker"], 86400), carried=["after"])).collect()
+    of, want = {r[0]: r for r in rows}, set()
+    for p in ceg.causal_pairs(e, ["ticker"]).collect():
+        near = sorted((x[1], x[0]) for x in rows if x[3] == of[p.cause_id][3] and of[p.cause_id][1] < x[1] < of[p.effect_id][1])
+        want |= {(p.cause_id, p.effect_id, i, rank) for rank, (_, i) in enumerate(near[:3], 1)}
+    assert len(got) == len(want) > 100 and {(r.cause_id, r.effect_id, r.evidence_id, r["rank"]) for r in got} == want
+    plan = queries.QUERIES["evidence_top3"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # each lag's join of causes and effects, and nothing after it but expressions
+    above = plan[: plan.index("Join Inner")]
+    assert "Aggregate" not in above and "Window" not in above and "Join" not in above
