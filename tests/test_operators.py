@@ -498,6 +498,44 @@ def test_importance_is_added_up_by_event_alone(spark, sf_dir):
     assert got[2].gains is None and got[2].price_impact == 0.0 and got[2].n_tickers is None
 
 
+def test_effects_of_a_cause_share_the_search_for_evidence(spark, sf_dir):
+    """What is looked for effect by effect, with names that few or half of the events have, equal
+    times, other weights, linked types and repeated ids of companies."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for types, half in ((["sanctions", "m&a", "rate_hike"], False), (["sanctions", "market_drop", "volatility_spike", "m&a"], True)):
+        rows = []
+        for i in rng.sample(range(5000), 400):
+            who = "C0" if half and rng.random() < 0.5 else f"C{rng.randrange(60)}"
+            weight = rng.choice([0.5, 0.5, 0.1234565, rng.random()])
+            rows.append({"evidence_id": i, "evidence_us": rng.randrange(0, 86400, 300) * 1_000_000, "evidence_type": rng.choice(types), "ents": ["T", who] + (["X"] if rng.random() < 0.05 else []), "trust": 0.5, "weight": weight, "words": [who.lower()] if rng.random() < 0.9 else []})
+        of = ceg._Cell(pa.Table.from_pylist(rows), 0.3, 5, 2 * ceg.HOUR)
+        assert of.sparse
+        asked = []
+
+        def results(parts):
+            return {(int(e), int(x)): (round(float(s), 9), bool(i), int(r)) for _, es, xs, ss, ins, rs in parts for e, x, s, i, r in zip(es, xs, ss, ins, rs)}
+
+        each = of.each
+        for c in range(0, 300, 37):
+            effects = np.flatnonzero(of.us > of.us[c])
+            want = results(each(c, effects))
+            of.each = lambda c, e: (asked.append(len(e)), each(c, e))[1]
+            assert results(of.shared(c, effects, 6)) == want and len(want) > 4 * len(effects)
+            asked.append(-len(effects) if not half else 0)
+            of.each = each
+        assert half or sum(x for x in asked if x > 0) < 0.3 * -sum(x for x in asked if x < 0)
+    e = queries.Views(spark, sf_dir).events()
+    want = ceg.evidence(ceg.causal_pairs(e, ["ticker"]), e, ["ticker"], 86400)
+    got = ceg.causal_evidence(e, ["ticker"])
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 1000
+    # pairs aren't rows: events alone are dealt to cells
+    assert "CoGroup" not in queries.QUERIES["evidence_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert ceg._rounded(np.array([0.1234565, 0.1234564999, 0.3700000001, 0.625]), 6).tolist() == [0.123457, 0.123456, 0.37, 0.625]
+
+
 def test_evidence_of_pairs_moves_no_pairs(spark, sf_dir):
     rng = random.Random(8)
     rows = [(i, ts(rng.randrange(0, 3 * 86400, 3600)), rng.choice(["sanctions", "other"]), rng.choice("AB")) for i in rng.sample(range(500), 120)]
