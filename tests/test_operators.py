@@ -100,6 +100,33 @@ def test_causal_pairs_respect_lags(spark):
     assert {(r.cause_id, r.effect_id): r.conf_total for r in weak}[1, 2] == pytest.approx(0.72) and not any(r.effect_id == 3 and r.cause_id == 1 for r in weak)
 
 
+def test_causal_pairs_come_from_blocks(spark, sf_dir, monkeypatch):
+    """All types, with text and market confidence, nulls, equal times and repeated ids, in blocks of five; a loop."""
+    monkeypatch.setattr(ceg, "BLOCK", 5)
+    rng = random.Random(3)
+    kinds = [*{p[0] for p in ceg.dims.PRIORS}, "other", None]
+    rows = [(rng.randrange(80), ts(rng.randrange(0, 40 * 86400, 1800)) if rng.random() < 0.95 else None, rng.choice(kinds), rng.choice(["A", "B", None]), rng.choice([0.0, 0.0, 0.6, 0.9, 1.0, None]), rng.choice([0.0, 0.7])) for _ in range(160)]
+    e = spark.createDataFrame(rows, "id long, ts timestamp, event_type string, ticker string, text_conf double, market_conf double")
+    priors = {p[0]: p for p in ceg.first_priors()}
+    want = []
+    for c in rows:
+        for f in rows:
+            if c[1] and f[1] and c[3] and c[3] == f[3] and datetime.timedelta(0) < f[1] - c[1] <= datetime.timedelta(days=30):
+                _, expected, sign, lag, prior = priors.get(c[2], (None, None, "±", "0-7d", 0.0))
+                lo, hi = ceg.dims.LAGS.get(lag, (0, 1e9))
+                conf = prior * (1.0 if lo <= (f[1] - c[1]).total_seconds() <= hi else 0.5)
+                text = f[4] or 0.0
+                if 0.4 * conf + 0.3 * text >= 0.3:
+                    kind = "CONFIRMED" if conf >= 0.6 and text >= 0.6 else "RETRO" if conf >= 0.5 else "HYPOTHESIS"
+                    want.append((c[0], f[0], c[1], f[1], str(c[2]), str(f[2]), sign, str(expected), lag, conf, round(0.4 * conf + 0.3 * text + 0.3 * f[5], 6), kind))
+    got = ceg.causal_pairs(e, ["ticker"], digits=6).collect()
+    have = [(r.cause_id, r.effect_id, r.cause_ts, r.effect_ts, str(r.cause_type), str(r.effect_type), r.sign, str(r.expected), r.lag, r.conf_prior, r.conf_total, r.kind) for r in got]
+    assert sorted(have) == sorted(want) and len(want) > 300
+    # what a pair has is worked out for its effect: nothing is rounded or judged after the join
+    plan = queries.QUERIES["causal_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.split("Join Inner")[0] and "CASE" not in plan.split("Join Inner")[0]
+
+
 def test_evidence_matches_a_loop(spark):
     rng = random.Random(5)
     kinds = ["sanctions", "market_drop", "volatility_spike", "trade_restrictions", "other"]
