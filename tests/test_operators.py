@@ -467,6 +467,26 @@ def test_recipients_meet_news_as_groups(spark, sf_dir):
     assert not re.search(r"Aggregate \[id#\d+L?, user#\d+L?\]", plan)
 
 
+def test_recipients_lie_in_blocks(spark, monkeypatch, tmp_path):
+    """Users of a group are met block by block, whatever the sizes; files hold a pair in little space."""
+    news, users = spark.range(4000), spark.range(3000)
+    links = news.select("id", F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("subject"))
+    subs = users.select((F.col("id") * 7919 % 1000003).alias("user"), F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("subject"))
+    ingest.recipients(links, subs).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.distinct().count() == 6000000
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.3 * 6000000, size
+    monkeypatch.setattr(ingest, "BLOCK", 4)
+    monkeypatch.setattr(ingest, "LOT", 12)
+    rng = random.Random(4)
+    pairs = lambda n, m: [(rng.choice([None, *range(n)]), rng.choice("ABC")) for _ in range(m)]
+    a, b = [*pairs(30, 60), (None, "A")], [*pairs(90, 200), (None, "A")]
+    got = ingest.recipients(spark.createDataFrame(a, "id long, subject string"), spark.createDataFrame(b, "user int, subject string")).collect()
+    want = {(i, u) for i, s in a for u, t in b if s == t}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and (None, None) in want
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_dense_vectors_equal_their_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(graph, "BLOCK", block)
