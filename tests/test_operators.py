@@ -127,6 +127,16 @@ def test_causal_pairs_come_from_blocks(spark, sf_dir, monkeypatch):
     assert "round(" not in plan.split("Join Inner")[0] and "CASE" not in plan.split("Join Inner")[0]
 
 
+def test_causal_pairs_take_little_space(spark, tmp_path):
+    """Effects come again and again in one order, confidences in runs."""
+    e = spark.range(4096).select("id", F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 20).alias("ts"), F.lit("sanctions").alias("event_type"), F.lit("T").alias("ticker"), F.element_at(F.array(F.lit(0.0), F.lit(0.7), F.lit(0.9)), (F.xxhash64("id") % 2 + 2).cast("int")).alias("text_conf"))
+    ceg.causal_pairs(e, ["ticker"], digits=6).select("cause_id", "effect_id", "conf_total", "kind").write.parquet(str(tmp_path / "out"))
+    n = 4096 * 4095 // 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.25 * n, size / n
+
+
 def test_evidence_matches_a_loop(spark):
     rng = random.Random(5)
     kinds = ["sanctions", "market_drop", "volatility_spike", "trade_restrictions", "other"]
