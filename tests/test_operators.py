@@ -607,3 +607,20 @@ def test_evidence_of_pairs_moves_no_pairs(spark, sf_dir):
     # each lag's join of causes and effects, and nothing after it but expressions
     above = plan[: plan.index("Join Inner")]
     assert "Aggregate" not in above and "Window" not in above and "Join" not in above
+
+
+def test_pairs_past_the_first_evidence_are_not_searched(spark, sf_dir):
+    """Also with repeated ids, which may name the cause or the effect."""
+    rng = random.Random(9)
+    at = lambda: ts(rng.randrange(0, 2 * 86400, 3600))
+    rows = [(rng.randrange(40), at(), rng.choice(["sanctions", "other"]), rng.choice("AB")) for _ in range(120)]
+    e = spark.createDataFrame(rows, "id long, ts timestamp, event_type string, ticker string")
+    pairs = ceg.causal_pairs(e, ["ticker"], causes=ceg.following(e, ["ticker"], 86400), carried=["after"]).collect()
+    want = []
+    for p in pairs:
+        near = [x for x in p.after if x.evidence_ts < p.effect_ts and x.evidence_id not in (p.cause_id, p.effect_id)]
+        want += [(p.cause_id, p.effect_id, p.cause_ts, p.effect_ts, x.evidence_id, i) for i, x in enumerate(near[:3], 1)]
+    got = ceg.between(ceg.causal_pairs(e, ["ticker"], causes=ceg.following(e, ["ticker"], 86400), carried=["after"]))
+    assert sorted((r.cause_id, r.effect_id, r.cause_ts, r.effect_ts, r.evidence_id, r["rank"]) for r in got.collect()) == sorted(want) and len(want) > 300
+    plan = queries.QUERIES["evidence_top3"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(CASE WHEN" in plan
